@@ -14,9 +14,11 @@ _LEGAL = re.compile(r"[\s,]+(?:" + "|".join(re.escape(x) for x in LEGAL) + r")\.
 _VOWELS = set("aeiou")
 
 #: Abbreviations in job titles that are neither the start nor a subsequence of the full word.
-TITLE_SHORT = {"vp": "vice president", "hr": "human resources", "sw": "software"}
-#: Words of rank; they belong to the title wherever they are written.
-RANKS = ["junior", "senior", "lead", "principal", "head", "director", "vice", "president"]
+TITLE_SHORT = {"vp": "vice president", "hr": "human resources", "sw": "software", "biz": "business"}
+#: Usual abbreviations in job titles, looked up where a typed one shortens no listed word.
+ABBREVIATIONS = ["princ", "mktg", "mgr", "mngr", "engr", "eng", "ops", "devt", "dev", "fin", "prod", "recruit", "coord", "spec", "lab", "tech", "admin", "dir", "snr", "jnr", "pres", "des", "biz"]
+#: Words of rank; they may stand after what they rank over ("design head").
+RANKS = ["head", "director", "vice president", "vp"]
 #: Short forms of the first word of a place.
 PLACE_SHORT = {"mt": ["mount"], "st": ["saint"], "pt": ["port"], "ft": ["fort"], "no": ["north", "new"], "n": ["north", "new"], "so": ["south"], "s": ["south"], "e": ["east"], "w": ["west"]}
 
@@ -28,8 +30,8 @@ NICKNAMES = {
     "edward": ["ed", "eddie", "ted", "ned", "teddy"], "elizabeth": ["liz", "beth", "betty", "eliza", "lizzie", "betsy", "libby"],
     "frederick": ["fred", "freddy", "freddie", "rick"], "gregory": ["greg"], "jacqueline": ["jackie", "jacqui"],
     "james": ["jim", "jimmy", "jamie"], "jennifer": ["jen", "jenny", "jenn"], "joseph": ["joe", "joey"],
-    "katherine": ["kate", "kathy", "katie", "kit", "kitty", "kat", "kay"], "lawrence": ["larry", "laurie", "lars"],
-    "margaret": ["maggie", "meg", "peggy", "marge", "greta", "rita"], "matthew": ["matt"], "michael": ["mike", "mick", "mickey"],
+    "katherine": ["kate", "kathy", "katie", "kit", "kitty", "kat", "kay"], "lawrence": ["larry"],
+    "margaret": ["maggie", "meg", "peggy", "marge"], "matthew": ["matt"], "michael": ["mike", "mick", "mickey"],
     "nicholas": ["nick", "nico", "nicky"], "patricia": ["pat", "trish", "patty", "tricia"], "penelope": ["penny", "nell"],
     "rebecca": ["becky", "becca"], "richard": ["rick", "rich", "dick", "ricky", "richie"], "robert": ["rob", "bob", "bobby", "robbie", "bert"],
     "samantha": ["sam", "sammy"], "samuel": ["sam", "sammy"], "stephen": ["steve", "stevie"], "susan": ["sue", "susie", "suzie"],
@@ -110,13 +112,13 @@ def company_reading(s: str, sectors: frozenset[str]) -> tuple[str, str]:
 
 
 def company_forms(s: str, sectors: frozenset[str]) -> dict[str, str]:
-    """The keys under which a clean name may be typed: joined words, head with initials, acronym, without its last word."""
+    """The keys under which a clean name may be typed: joined words, head with initials, acronym, without its last word, head alone."""
     words, _ = company_tokens(s, sectors)
     if not words:
         return {}
     out = {"n": "".join(words)}
     if len(words) > 1:
-        out |= {"i": words[0] + "|" + "".join(w[0] for w in words[1:]), "a": consonants(words[0]) + words[-1][0], "b": "".join(words[:-1])}
+        out |= {"i": words[0] + "|" + "".join(w[0] for w in words[1:]), "a": consonants(words[0]) + words[-1][0], "b": "".join(words[:-1]), "h": words[0]}
     return out
 
 
@@ -124,15 +126,39 @@ def company_forms(s: str, sectors: frozenset[str]) -> dict[str, str]:
 
 
 def title_key(words: Iterable[str]) -> str:
-    return "".join(w for w in words if w != "of")
+    return "".join(w for w in words if w not in ("of", "for"))
 
 
 def title_words(s: str) -> list[str]:
     t = re.sub(r"\bh\.\s*r\.(?=\s|$)", "hr ", s)
-    t = re.sub(r"\bs/w\b", "sw", t)
+    t = re.sub(r"\bs/w\b", "sw", re.sub(r"\bv\.\s*p\.(?=\s|$)", "vp ", t))
     return [w for w in re.split(r"[\s\-/]+", re.sub(r"[^\w\s.\-/]", " ", t)) if w and w != "."]
 
 
+@lru_cache(maxsize=200_000)
+def _title_choices(w: str, vocabulary: frozenset[str]) -> list[str]:
+    """Full words a word of a title may stand for; an abbreviation may itself hold one typing error."""
+    w0 = w.rstrip(".")
+    found = list(_expansions(w, vocabulary))
+    if w0 in vocabulary:
+        return found
+    if found == [w0] or len(w0) < 8:
+        for a in ABBREVIATIONS:
+            if len(a) > 2 and abs(len(a) - len(w0)) < 2 and a != w0 and _one_edit(a, w0):
+                found += [TITLE_SHORT[a]] if a in TITLE_SHORT else [x for x in _expansions(a + ".", vocabulary) if x != a]
+    return list(dict.fromkeys([*found, *([] if w.endswith(".") else [w0])]))[:6]
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """At most one letter added, left out, changed or swapped with its neighbour."""
+    if len(a) == len(b):
+        d = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(d) < 2 or (len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]])
+    if len(a) > len(b):
+        a, b = b, a
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
 def title_readings(s: str, vocabulary: frozenset[str]) -> list[tuple[int, str]]:
     """(rank, key) of the ways to read a typed title: all words in order or turned round first, then without remarks."""
     t = fold(s)
@@ -150,12 +176,16 @@ def title_readings(s: str, vocabulary: frozenset[str]) -> list[tuple[int, str]]:
             if "," in pieces[0]:
                 a, _, b = pieces[0].rpartition(",")
                 parts.append((1, f"{b.strip()} {a.strip()}"))
+    for rank, p in list(parts):
+        for end in RANKS:
+            if p.endswith(" " + end):
+                parts.append((rank, f"{end} {p[: -len(end) - 1]}"))
     out: dict[str, int] = {}
     for rank, p in parts:
         choices = []
         for w in title_words(p):
             w0 = w.rstrip(".")
-            choices.append([TITLE_SHORT[w0]] if w0 in TITLE_SHORT else list(_expansions(w, vocabulary)) + ([w0] if w0 not in vocabulary and not w.endswith(".") else []))
+            choices.append([TITLE_SHORT[w0]] if w0 in TITLE_SHORT else _title_choices(w, vocabulary))
         for combo in itertools.islice(itertools.product(*choices), 32):
             key = title_key(x for w in combo for x in w.split())
             if key:

@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import canonical
+from rosterlake.llm import canonical, variants
 from rosterlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: rows that are one person and spellings that are one organisation."""
+    return variants.variant_pairs(table(spark, d, "alumni"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 5: free-entered values mapped to the canonical lists."""
     return canonical.alumni_to_lists(table(spark, d, "alumni"), table(spark, d, "ref_companies"), table(spark, d, "ref_titles"), table(spark, d, "ref_locations"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return {"p1_found": p1_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
