@@ -106,7 +106,7 @@ def company_reading(s: str, sectors: frozenset[str]) -> tuple[str, str]:
     words, initials = company_tokens(s, sectors)
     if initials:
         return "i", words[0] + "|" + "".join(words[1:])
-    if len(words) == 1 and 3 < len(words[0]) < 9 and words[0].isalpha() and not _VOWELS & set(words[0]):
+    if len(words) == 1 and 3 < len(words[0]) < 9 and words[0].isalpha() and not _VOWELS & set(words[0][:-1]):
         return "a", words[0]
     return "n", "".join(words)
 
@@ -233,8 +233,8 @@ def respelled(s: str) -> str:
     return re.sub(r"[^a-z]", "", s)
 
 
-def person_parts(s: str) -> tuple[str, str] | None:
-    """(given name, family name), folded; None if there are not two words. Middle names, titles, marks, maiden and
+def person_parts(s: str) -> tuple[str, str, str] | None:
+    """(given name, family name respelled, family name), folded; None if there are not two words. Middle names, titles, marks, maiden and
     second family names are left out; "Family, Given" is turned round."""
     t = re.sub(r"\([^)]*\)", " ", fold(s))
     t = re.sub(r"\s+", " ", t).strip(" ,")
@@ -252,7 +252,7 @@ def person_parts(s: str) -> tuple[str, str] | None:
     if len(words[-1]) == 1 and not turned and len(words) == 2:
         words.reverse()
     given, family = words[0], words[-1].split("-")[0]
-    return given, respelled(family)
+    return given, respelled(family), re.sub(r"[^a-z]", "", family)
 
 
 def formal_names(given: str) -> list[str]:

@@ -27,6 +27,8 @@ from rosterlake.session import broadcast_if_small, cut
 EDITS = 1
 #: Two edits tie organisations only if first words are within one edit of each other.
 EDITS_APART = 2
+#: Weight of a listed organisation where short forms clash: above any number of rows.
+LISTED = 1 << 50
 #: Shortest name that may hold an edit.
 LEAST_LETTERS = 5
 #: A last word counts as a trade word if it follows this share of the spellings' distinct first words (at least 5).
@@ -58,9 +60,12 @@ def company_spellings(alumni: DataFrame, column: str = "current_company") -> Dat
     return alumni.where(~is_stand_in(F.col(column))).groupBy(F.lower(squeeze(F.col(column))).alias("key")).agg(F.count("*").alias("w"))
 
 
-def organisations(alumni: DataFrame, column: str = "current_company") -> DataFrame:
+def organisations(alumni: DataFrame, column: str = "current_company", listed: DataFrame | None = None) -> DataFrame:
     """(key, org): for every spelling the organisation it names, stated as the smallest reading of its cluster.
 
+    `listed` (company, short_name) is an optional list of clean names; where several organisations share a short
+    form, a listed one comes first. It makes no organisation of its own.
+
     Null and stand-in values are no spellings. An empty table gives no rows. Spellings that read alike are one
     organisation; of several candidates for an acronym, initials or a shortened name the most frequent wins if it is
     at least three times the next, else the spelling stays alone.
@@ -112,8 +117,19 @@ def organisations(alumni: DataFrame, column: str = "current_company") -> DataFra
     clusters = cut(strings.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("org", F.coalesce("component", "s")))
 
     # shortened forms: one organisation, or one at least three times as frequent as the next
-    weight = clusters.groupBy("org").agg(F.sum("w").alias("ow"), F.max("traded").alias("traded"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("w"))).alias(c) for c in "iabh"))
-    forms = weight.select("org", "ow", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("form")) for c in "iabh"))).alias("f")).select("org", "ow", "f.*").where("form is not null")
+    weight = clusters.groupBy("org").agg(F.sum("w").alias("ow"), F.max("traded").alias("traded"))
+    forms = clusters.select("org", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("form")) for c in "iabh"))).alias("f")).select("org", "f.*").where("form is not null").distinct().join(weight.select("org", "ow"), "org").select("org", "ow", "kind", "form")
+    if listed is not None:
+        def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for name, short in zip(b["company"], b["short_name"]):
+                    f = names.company_forms(name or "", trades)
+                    out += [(f["n"], k, v) for k, v in ({**f, "a": names.fold(short)} if short else f).items() if k != "n"]
+                yield pd.DataFrame(out, columns=["s", "kind", "form"])
+
+        known = listed.select("company", "short_name").mapInPandas(formed, "s string, kind string, form string").join(clusters.select("s", "org"), "s")
+        forms = forms.unionByName(known.select("org", F.lit(LISTED).alias("ow"), "kind", "form"))
     ranked = forms.groupBy("kind", "form").agg(F.max(F.struct("ow", "org")).alias("m"), F.sum("ow").alias("total")).where("m.ow >= 3 * (total - m.ow)").select("kind", "form", F.col("m.org").alias("target"), F.col("m.ow").alias("tw"))
     asked = spelled.where("kind in ('i', 'a')").select(F.concat("kind", F.lit(":"), "s").alias("node"), "kind", F.col("s").alias("form"))
     bare = weight.where("not traded").select(F.col("org").alias("node"), F.explode(F.array(F.lit("b"), F.lit("h"))).alias("kind"), F.col("org").alias("form"))
@@ -141,9 +157,9 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = [names.person_parts(x) for x in b["name"]]
-            yield b.assign(given=[p[0] if p else None for p in parts], family=[p[1] if p else None for p in parts])
+            yield b.assign(given=[p[0] if p else None for p in parts], family=[p[1] if p else None for p in parts], typed=[p[2] if p else None for p in parts])
 
-    parsed = cut(rows.mapInPandas(read, "person_id string, name string, block string, given string, family string").where("given is not null and family <> ''"))
+    parsed = cut(rows.mapInPandas(read, "person_id string, name string, block string, given string, family string, typed string").where("given is not null and family <> ''"))
     n = parsed.count()
     known = [r[0] for r in parsed.groupBy("given").count().where((F.col("count") >= max(3, int(GIVEN_SHARE * n))) & (F.length("given") > 2)).orderBy(F.desc("count"), "given").limit(MAX_WORDS).collect()]
     # misspellings repeat too: a known name within one edit of one twenty times as frequent is none
@@ -166,14 +182,14 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"given": gs, "formal": [sorted({f for y in {g, *near.get(g, ())} for f in names.formal_names(y)}) for g in gs]})
 
     formal = parsed.select("given").distinct().mapInPandas(stand_for, "given string, formal array<string>")
-    entries = parsed.groupBy("block", "given", "family").agg(F.count("*").alias("w")).join(broadcast_if_small(formal), "given")
-    entries = cut(entries.select(F.concat_ws("|", "block", "given", "family").alias("entry"), "block", "given", "family", "formal", "w"))
+    entries = parsed.groupBy("block", "given", "family", "typed").agg(F.count("*").alias("w")).join(broadcast_if_small(formal), "given")
+    entries = cut(entries.select(F.concat_ws("|", "block", "given", "typed").alias("entry"), "block", "given", "family", "typed", "formal", "w"))
     keyed = entries.withColumn("letter", F.explode(F.array_distinct(F.transform("formal", lambda x: x.substr(1, 1))))).withColumn("block", F.concat_ws("|", "block", "letter"))
-    place = cells(keyed.groupBy("block", F.col("family").alias("s")).agg(F.sum("w").alias("w")), 2 * EDITS)
+    place = cells(keyed.groupBy("block", F.col("family").alias("s")).agg(F.sum("w").alias("w")), 4 * EDITS)
     members = keyed.withColumnRenamed("family", "s").join(place, ["block", "s"])
 
     def compare(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        d = edits(g, "s", i, j, EDITS)
+        d = np.minimum(edits(g, "s", i, j, EDITS), edits(g, "typed", i, j, EDITS))
         size = g["s"].str.len().to_numpy()
         ok = (d == 0) | ((d <= EDITS) & (np.minimum(size[i], size[j]) >= LEAST_LETTERS))
         at = np.flatnonzero(ok)
@@ -188,9 +204,9 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
         e = g["entry"].to_numpy()
         return pd.DataFrame({"a": e[i], "b": e[j]})
 
-    links = cell_join(members, ["block", "cell"], ["s", "given", "formal", "entry"], compare, "a string, b string", emit).where("a <> b")
+    links = cell_join(members, ["block", "cell"], ["s", "typed", "given", "formal", "entry"], compare, "a string, b string", emit).where("a <> b")
     classes = components(links)
-    named = parsed.withColumn("entry", F.concat_ws("|", "block", "given", "family"))
+    named = parsed.withColumn("entry", F.concat_ws("|", "block", "given", "typed"))
     return named.join(classes.withColumnRenamed("node", "entry"), "entry", "left").select("person_id", "name", F.coalesce("component", "entry").alias("class"))
 
 
@@ -202,8 +218,8 @@ def person_pairs(classes: DataFrame) -> DataFrame:
     return keyed.alias("x").join(keyed.alias("y"), (F.col("x.class") == F.col("y.class")) & (F.col("x.person_id") < F.col("y.person_id")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.person_id").alias("key_a"), F.col("y.person_id").alias("key_b")).distinct()
 
 
-def variant_pairs(alumni: DataFrame) -> DataFrame:
+def variant_pairs(alumni: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """(kind, key_a, key_b) of both kinds."""
-    orgs = cut(organisations(alumni))
+    orgs = cut(organisations(alumni, listed=listed))
     people = person_pairs(person_classes(alumni, orgs)).select(F.lit("person").alias("kind"), "key_a", "key_b")
     return people.unionByName(company_pairs(orgs).select(F.lit("company").alias("kind"), "key_a", "key_b"))
