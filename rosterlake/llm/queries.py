@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import canonical, fusion, together, variants
+from rosterlake.llm import canonical, fusion, knn, together, variants
 from rosterlake.functions.quality import DANGLING, STAND_INS
 from rosterlake.session import table
 
@@ -29,6 +29,11 @@ def p2_fused_values(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(fusion.alumni_claims(table(spark, d, "alumni")), recency="soft").select(F.col("entity").alias("record_hash"), "field", "value", F.round("posterior", 6).alias("posterior"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 4: pairs of people of whom one is among the five most similar to the other."""
+    return knn.neighbour_pairs(knn.people_neighbours(table(spark, d, "profile_embeddings"), table(spark, d, "multi_aspect_embeddings")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 5: free-entered values mapped to the canonical lists."""
     return canonical.alumni_to_lists(table(spark, d, "alumni"), table(spark, d, "ref_companies"), table(spark, d, "ref_titles"), table(spark, d, "ref_locations"))
@@ -45,11 +50,11 @@ def p6_significance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_fused_values, p5_found, p6_found, p6_significance)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_fused_values, p4_found, p5_found, p6_found, p6_significance)}
 
 
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
-_USABLE = rf"""regexp_matches({{v}}, '[\p{{{{L}}}}\p{{{{N}}}}]') AND {{v}} NOT IN ({_STAND_INS}) AND NOT regexp_matches({{v}}, '(\.\.|…|,)$|(^|\s)({"|".join(DANGLING)})$') AND NOT regexp_matches({{v}}, '\([^)]*$')""".format(v="lower(trim(regexp_replace(value, '\s+', ' ', 'g')))")
+_USABLE = rf"""regexp_matches({{v}}, '[\p{{{{L}}}}\p{{{{N}}}}]') AND {{v}} NOT IN ({_STAND_INS}) AND NOT regexp_matches({{v}}, '(\.\.|…|,)$|(^|\s)({"|".join(DANGLING)})$') AND NOT regexp_matches({{v}}, '\([^)]*$')""".format(v=r"lower(trim(regexp_replace(value, '\s+', ' ', 'g')))")
 
 P2_SQL = f"""
 WITH g AS (SELECT record_hash FROM alumni WHERE record_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
