@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import canonical, fusion, knn, together, variants
+from rosterlake.llm import canonical, fusion, knn, leaks, level, packing, together, variants
 from rosterlake.functions.quality import DANGLING, STAND_INS
 from rosterlake.session import table
 
@@ -49,8 +49,23 @@ def p6_significance(spark: SparkSession, d: str) -> DataFrame:
     return together.alumni_pairs(table(spark, d, "alumni"), table(spark, d, "skills")).select("item_a", "item_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: which tokens of which document go into which sequence."""
+    return packing.pack(packing.token_counts(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: documents and the test items they leak."""
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 9: reading level of each document with running text."""
+    return level.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_samples")).select("doc_id", "level")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_fused_values, p4_found, p5_found, p6_found, p6_significance)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_fused_values, p4_found, p5_found, p6_found, p6_significance, p7_packed, p8_found, p9_found)}
 
 
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
