@@ -21,7 +21,11 @@ from rosterlake.llm.scan import chunks, scan, words_of
 from rosterlake.session import cut
 
 #: Words of a passage that counts, and how many of them must be there next to another one that is.
-WINDOW, MATCHED = 15, 11
+WINDOW, MATCHED = 15, 12
+#: Words by which a passage may drift off the places at which its rarest terms were found.
+DRIFT = 3
+#: Share of a window's rarity (sum of log inverse frequencies) that its found words must hold.
+RARE_SHARE = 0.72
 #: Rarest terms of each window that are looked up, least number that must meet, and words by which they may shift.
 RAREST, MEET, SHIFT = 7, 2, 8
 #: Most items searched at once; more go in further rounds over the same index.
@@ -98,14 +102,18 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int = WINDOW, rarest:
     return np.flatnonzero(keep)
 
 
-def passage_score(item: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> int:
-    """Most words of a window of the item that stand in `doc` (term numbers, -1 for other words) next to another one."""
+def passage_score(item: np.ndarray, doc: np.ndarray, low: int, high: int, weight: np.ndarray, window: int = WINDOW) -> int:
+    """Most words of a window of the item that stand in `doc` (term numbers, -1 for other words) next to another one,
+    `low` to `high` places later than in the item. Windows whose rare words are missing do not count: questions of one
+    make share their common words. `weight` has the rarity of each word of the item."""
     eq = np.zeros((len(item) + 2, len(doc) + 2), bool)
-    eq[1:-1, 1:-1] = item[:, None] == doc[None, :]
+    later = np.arange(len(doc))[None, :] - np.arange(len(item))[:, None]
+    eq[1:-1, 1:-1] = (item[:, None] == doc[None, :]) & (later >= low) & (later <= high)
     hit = (eq[1:-1, 1:-1] & (eq[:-2, :-2] | eq[2:, 2:])).any(1)
-    total = np.r_[0, np.cumsum(hit)]
     w = min(window, len(item))
-    return int((total[w:] - total[:-w]).max())
+    total, mass, whole = (np.r_[0, np.cumsum(x)] for x in (hit, hit * weight, weight))
+    words = total[w:] - total[:-w]
+    return int(np.where(mass[w:] - mass[:-w] >= RARE_SHARE * (whole[w:] - whole[:-w]), words, 0).max())
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, matched: int = MATCHED, limit: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -121,6 +129,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, matched: int = MATCHED, l
     index = cut(build_index(documents, test.terms))
     counts = term_counts(index, len(test.terms))
     places = [anchors(w, counts) for w in test.words]
+    rarity = np.log1p(counts.sum() / (1.0 + counts))
+    weights = [rarity[w] for w in test.words]
     # occurrences of anchor terms, by term
     term = np.concatenate([w[p] for w, p in zip(test.words, places)])
     item = np.repeat(np.arange(len(places)), [len(p) for p in places])
@@ -165,7 +175,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, matched: int = MATCHED, l
                     continue
                 text = np.full(int(end - begin) + 1, -1, np.int32)
                 text[pos[a:z] - begin] = t[a:z]
-                best[pair] = max(best.get(pair, 0), passage_score(test.words[i], text))
+                best[pair] = max(best.get(pair, 0), passage_score(test.words[i], text, int(diag[first[r]] - begin) - DRIFT, int(diag[last[r]] - begin) + DRIFT, weights[i]))
             found = [(docs[p // len(places)], test.ids[p % len(places)], s) for p, s in best.items() if s >= need[p % len(places)]]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], names=["doc_id", "item_id", "score"])
 

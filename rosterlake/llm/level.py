@@ -1,6 +1,6 @@
 """Reading level of each document by harmonic propagation over a document-profile graph.
 
-Sentences of alike measure - language, words, letters a word, long words - share a profile node; a document is tied
+Sentences of alike measure - language, words, letters a word, long words, commas - share a profile node; a document is tied
 to the profiles of its sentences by the words they hold. Profiles of graded sentences are clamped to their level; all
 others take, round by round, the mean of the documents they occur in, and documents the mean of their profiles. The
 level of a document is the one at which most of its words are written.
@@ -20,8 +20,8 @@ from rosterlake.session import cut
 
 #: Least number of blank-separated words of running text, and of words of a sentence.
 LEAST_WORDS, LEAST_SENTENCE = 30, 3
-#: Width and number of the steps of a profile: words, letters a word (in tenths), long words.
-WORD_STEP, WORD_STEPS, LETTER_STEP, LETTER_STEPS, LONG_STEP, LONG_STEPS = 3, 24, 8, 24, 2, 20
+#: Width and number of the steps of a profile: words, letters a word (in tenths), long words; and number of commas told apart.
+WORD_STEP, WORD_STEPS, LETTER_STEP, LETTER_STEPS, LONG_STEP, LONG_STEPS, COMMAS = 4, 16, 10, 20, 2, 16, 3
 #: Letters of a long word.
 LONG = 10
 #: Rounds of propagation, and the change below which they end.
@@ -59,9 +59,11 @@ def _sentences(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     closing = np.isin(np.r_[buf[1:], [0]], [0x22, 0x27, 0x29]) & np.r_[blank[2:], True, True]
     stop = mark & (nxt_blank | closing)
     text_end = np.r_[row[1:] != row[:-1], True]
-    marks = np.bincount(row[stop], minlength=s.n)
-    words = np.bincount(s.word_row, minlength=s.n) if len(s.start) else np.zeros(s.n)
-    plain = marks * 100 < words  # hardly any marks: then each line is a sentence
+    # where nearly every line starts with a capital, each line is a sentence; else lines are wrapped
+    upper = inside & (((lead >= 65) & (lead <= 90)) | (lead == 0xC2) | ((lead == 0xC3) & (follow < 0x9F)))
+    later = ~np.r_[True, row[np.flatnonzero(line_start)][1:] != row[np.flatnonzero(line_start)][:-1]] & inside & (at <= ends[line_of_start])
+    line_row = row[np.flatnonzero(line_start)]
+    plain = np.bincount(line_row[later & upper], minlength=s.n) >= 0.9 * np.maximum(1, np.bincount(line_row[later], minlength=s.n))
     prev_text = np.maximum.accumulate(np.where(~blank, idx, -1))
     gap_nl = np.cumsum(nl)
     # an empty line: two line ends with only blanks between
@@ -97,10 +99,13 @@ def _profiles(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.minimum(n // WORD_STEP, WORD_STEPS - 1)
     b = np.minimum(chars * 10 // n // LETTER_STEP, LETTER_STEPS - 1)
     c = np.minimum(long // LONG_STEP, LONG_STEPS - 1)
-    return rows[first], (a * LETTER_STEPS + b) * LONG_STEPS + c, n
+    begin, stop = s.start[ok][first], s.start[ok][np.r_[first[1:], len(sent)] - 1]
+    comma = np.r_[0, np.cumsum(s.buf == 0x2C)]
+    d = np.minimum(comma[stop] - comma[begin], COMMAS - 1)
+    return rows[first], ((a * LETTER_STEPS + b) * LONG_STEPS + c) * COMMAS + d, n
 
 
-PROFILES = WORD_STEPS * LETTER_STEPS * LONG_STEPS
+PROFILES = WORD_STEPS * LETTER_STEPS * LONG_STEPS * COMMAS
 
 
 def _blank_words(s: Scan) -> np.ndarray:
