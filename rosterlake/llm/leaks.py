@@ -3,7 +3,7 @@
 The index holds, per document, the postings (term, position) of every word that a test item uses; it is built in one
 pass over whole texts, partitioned by document, and stored in the shared folder. Corpus counts of all terms name the
 rarest terms of every window of a test item. Their postings, shifted by the term's place in the item, are intersected
-along diagonals; where at least two meet, the postings around decide: a window of the item must be there in order,
+along diagonals; where enough of them meet, the postings around decide: a window of the item must be there in order,
 all but a few single words.
 """
 
@@ -26,8 +26,9 @@ WINDOW, MATCHED = 15, 12
 DRIFT = 3
 #: Share of a window's rarity (sum of log inverse frequencies) that its found words must hold.
 RARE_SHARE = 0.72
-#: Rarest terms of each window that are looked up, least number that must meet, and words by which they may shift.
-RAREST, MEET, SHIFT = 7, 2, 8
+#: Rarest terms of each window that are looked up, least number that must meet (a window with WINDOW - MATCHED words
+#: changed keeps at least RAREST - (WINDOW - MATCHED) of them), and words by which they may shift.
+RAREST, MEET, SHIFT = 7, 4, 8
 #: Most items searched at once; more go in further rounds over the same index.
 ITEMS_AT_ONCE = 20_000
 
