@@ -14,13 +14,13 @@ from rosterlake.functions.text import any_of, first_match, most_matches, title_c
 def seniority(c: Column) -> tuple[Column, Column]:
     """(name, level): the longest word of rank contained, else a pattern, else null and 0."""
     name: Column | None = None
-    level: Column | None = None
-    for word, n in sorted(rules.SENIORITY.items(), key=lambda x: -len(x[0])):
-        hit = c.contains(word)
-        name, level = (F.when(hit, word), F.when(hit, n)) if name is None else (name.when(hit, word), level.when(hit, n))
+    for word in sorted(rules.SENIORITY, key=lambda x: -len(x)):
+        name = F.when(c.contains(word), word) if name is None else name.when(c.contains(word), word)
+    levels = dict(rules.SENIORITY)
     for pattern, word, n in rules.SENIORITY_PATTERNS:
-        name, level = name.when(c.rlike(pattern), word), level.when(c.rlike(pattern), n)
-    return name, level.otherwise(0)
+        name = name.when(c.rlike(pattern), word)
+        levels[word] = n
+    return name, F.coalesce(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])[name], F.lit(0))
 
 
 def title_tokens(c: Column) -> Column:

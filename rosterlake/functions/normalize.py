@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlake.functions import rules
 from rosterlake.functions.text import fold_words, lookup, ratio, title_case
@@ -27,7 +28,7 @@ def company(c: Column, fuzzy: bool = False) -> Column:
     return F.when(c.isNull() | (c == ""), "").otherwise(F.coalesce(known, rest))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nearest_company(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The canonical company most like the text, from 85 percent on; each distinct text is compared once."""
     seen: dict[str, str | None] = {}

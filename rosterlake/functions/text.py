@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlake.functions import rules
 
 
 def any_of(c: Column, words: list[str]) -> Column:
-    """True where the text contains one of the words as a substring."""
-    return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
+    """True where the text contains one of the words as a substring: one pattern for all keeps the generated code small."""
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_match(c: Column, classes: dict[str, list[str]]) -> Column:
@@ -26,12 +28,9 @@ def first_match(c: Column, classes: dict[str, list[str]]) -> Column:
 
 def most_matches(c: Column, classes: dict[str, list[str]]) -> Column:
     """The class with the most keywords found, the earlier one on ties; null where none is found."""
-    counts = {k: reduce(lambda a, b: a + b, (c.contains(w).cast("int") for w in ws)) for k, ws in classes.items()}
-    best = F.greatest(*counts.values())
-    out = F.when(best == 0, F.lit(None).cast("string"))
-    for k, n in counts.items():
-        out = out.when(n == best, k)
-    return out
+    scored = [F.struct(reduce(lambda a, b: a + b, (c.contains(w).cast("int") for w in ws)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(classes.items())]
+    best = F.array_max(F.array(*scored))
+    return F.when(best["n"] > 0, best["name"])
 
 
 def fold_words(c: Column, words: dict[str, str]) -> Column:
@@ -76,7 +75,7 @@ def ratio(a: str | None, b: str | None) -> int:
     return round(200 * _lcs(a, b) / (len(a) + len(b)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
 
