@@ -89,7 +89,7 @@ def organisations(alumni: DataFrame, column: str = "current_company", listed: Da
     spelled = cut(keys.mapInPandas(read, "key string, w long, kind string, s string, head string, traded boolean, i string, a string, b string, h string"))
     strings = cut(spelled.where("kind = 'n'").groupBy("s").agg(F.sum("w").alias("w"), F.max_by("head", "w").alias("head"), F.max("traded").alias("traded"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("w"))).alias(c) for c in "iabh")))
 
-    place = cells(strings.select(F.lit("").alias("block"), "s", "w"), 2 * EDITS_APART)
+    place = cells(strings.select(F.substring("s", 1, 0).alias("block"), "s", "w"), 2 * EDITS_APART)
     members = place.join(strings.select("s", "w", "head"), "s")
 
     def compare(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
