@@ -176,6 +176,7 @@ def _search_group(t: pa.Table, book: Codebooks, k: int) -> Iterator[tuple[np.nda
         lead = t.column("lead").to_numpy(zero_copy_only=False)
         for c in copy:
             followers.setdefault(lead[c], []).append(ids[c])
+    here = set(names.tolist()) if followers else set()
     keep = min(RERANK, len(base))
     for lo in range(0, len(ask), CHUNK):
         at = ask[lo : lo + CHUNK]
@@ -202,6 +203,8 @@ def _search_group(t: pa.Table, book: Codebooks, k: int) -> Iterator[tuple[np.nda
             for f in followers.get(i, ()):  # a copy has its leader's neighbours, and the leader itself
                 good = ok[r] & (who[r] != f)
                 yield np.repeat(np.array([f], dtype=object), good.sum()), who[r][good], sim[r][good]
+                if i in here:
+                    yield np.array([f], dtype=object), np.array([i], dtype=object), np.ones(1)
 
 
 def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5) -> DataFrame:

@@ -142,7 +142,7 @@ def _title_choices(w: str, vocabulary: frozenset[str]) -> list[str]:
     found = list(_expansions(w, vocabulary))
     if w0 in vocabulary:
         return found
-    if found == [w0] or len(w0) < 8:
+    if w0 not in ABBREVIATIONS and (found == [w0] or len(w0) < 8):
         for a in ABBREVIATIONS:
             if len(a) > 2 and abs(len(a) - len(w0)) < 2 and a != w0 and _one_edit(a, w0):
                 found += [TITLE_SHORT[a]] if a in TITLE_SHORT else [x for x in _expansions(a + ".", vocabulary) if x != a]

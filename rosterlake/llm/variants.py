@@ -55,6 +55,18 @@ def _trade_words(keys: DataFrame) -> frozenset[str]:
     return frozenset(words)
 
 
+def _last_words(listed: DataFrame) -> frozenset[str]:
+    """Last words of the listed names: trade words even where the spellings are too few to tell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ws = [names.company_tokens(k, frozenset())[0] for k in b["company"]]
+            yield pd.DataFrame({"w": [w[-1] for w in ws if len(w) > 1 and len(w[-1]) > 2]})
+
+    rows = listed.where("company is not null").select("company").mapInPandas(run, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(MAX_WORDS).collect()
+    return frozenset(r[0] for r in rows)
+
+
 def company_spellings(alumni: DataFrame, column: str = "current_company") -> DataFrame:
     """(key, w): the distinct spellings in lower case with blanks squeezed, and their rows. Stand-ins are left out."""
     return alumni.where(~is_stand_in(F.col(column))).groupBy(F.lower(squeeze(F.col(column))).alias("key")).agg(F.count("*").alias("w"))
@@ -71,7 +83,7 @@ def organisations(alumni: DataFrame, column: str = "current_company", listed: Da
     at least three times the next, else the spelling stays alone.
     """
     keys = cut(company_spellings(alumni, column))
-    trades = _trade_words(keys)
+    trades = _trade_words(keys) | (_last_words(listed) if listed is not None else frozenset())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
