@@ -29,11 +29,17 @@ def title_tokens(c: Column) -> Column:
 
 
 def title_entities(df: DataFrame, column: str) -> DataFrame:
-    """normalized, seniority, seniority_level, role_type, specialization, department, industry_focus beside the columns of `df`."""
-    df = df.withColumn("normalized", normalize.title(F.col(column)))
+    """normalized, seniority, seniority_level, role_type, specialization, department, industry_focus beside the columns of `df`.
+
+    A null title reads as ''; columns of `df` that bear one of these names are replaced."""
+    # titles repeat: the rules run once for each distinct one, and the few distinct titles are joined back
     t = F.col("normalized")
     name, level = seniority(t)
-    return df.select("*", name.alias("seniority"), level.alias("seniority_level"), most_matches(t, rules.ROLE_TYPES).alias("role_type"), first_match(t, rules.SPECIALIZATIONS).alias("specialization"), first_match(t, rules.DEPARTMENTS).alias("department"), first_match(t, rules.INDUSTRY_FOCUS).alias("industry_focus"))
+    each = df.where(F.col(column).isNotNull()).select(column, normalize.title(F.col(column)).alias("normalized")).distinct()
+    each = each.select(column, t, name.alias("seniority"), level.alias("seniority_level"), most_matches(t, rules.ROLE_TYPES).alias("role_type"), first_match(t, rules.SPECIALIZATIONS).alias("specialization"), first_match(t, rules.DEPARTMENTS).alias("department"), first_match(t, rules.INDUSTRY_FOCUS).alias("industry_focus"))
+    own = [c for c in df.columns if c == column or c not in each.columns]
+    joined = df.select(*own).join(each, column, "left")
+    return joined.select(*own, F.coalesce("normalized", F.lit("")).alias("normalized"), "seniority", F.coalesce("seniority_level", F.lit(0)).alias("seniority_level"), "role_type", "specialization", "department", "industry_focus")
 
 
 def title_variations(c: Column) -> Column:
@@ -65,6 +71,14 @@ def location_parts(c: Column) -> Column:
     return out.when(c.contains(","), part(first, F.coalesce(state, second), F.when(state.isNotNull(), "United States"), none)).otherwise(part(none, none, none, none))
 
 
+def location_entities(df: DataFrame, column: str) -> DataFrame:
+    """city, state, country and metro_area beside the columns of `df`; the rules run once for each distinct place."""
+    each = df.where(F.col(column).isNotNull()).select(column, location_parts(F.col(column)).alias("__place")).distinct()
+    names = ["city", "state", "country", "metro_area"]
+    own = [c for c in df.columns if c == column or c not in names]
+    return df.select(*own).join(each, column, "left").select(*own, *(F.col("__place")[n].alias(n) for n in names))
+
+
 def location_display(parts: Column, raw: Column) -> Column:
     """Metropolitan area, "City, State", "City, Country" abroad, city, else the text in title case."""
     p = parts
@@ -75,16 +89,23 @@ def location_display(parts: Column, raw: Column) -> Column:
 def rule_entities(df: DataFrame, column: str, employer: str) -> DataFrame:
     """The second rule set: five first-match classes (industry from the company), normalised title and confidence."""
     t, e = F.lower(F.trim(F.col(column))), F.lower(F.col(employer))
-    df = df.select("*", normalize.title_short(F.col(column)).alias("normalized_title"), first_match(t, rules.RULES_SENIORITY).alias("seniority"), first_match(t, rules.RULES_ROLE).alias("role_type"), first_match(t, rules.RULES_SPECIALIZATION).alias("specialization"), first_match(t, rules.RULES_DEPARTMENT).alias("department"), first_match(e, rules.RULES_INDUSTRY).alias("industry_focus"))
+    rules_of = {"normalized_title": normalize.title_short(F.col(column)), "seniority": first_match(t, rules.RULES_SENIORITY), "role_type": first_match(t, rules.RULES_ROLE), "specialization": first_match(t, rules.RULES_SPECIALIZATION), "department": first_match(t, rules.RULES_DEPARTMENT), "industry_focus": first_match(e, rules.RULES_INDUSTRY)}
+    own = [c for c in df.columns if c not in rules_of]
+    each = df.select(column, employer, *(x.alias(k) for k, x in rules_of.items())).distinct()
+    back = df.select(*own).alias("d").join(each.alias("e"), F.col(f"d.{column}").eqNullSafe(F.col(f"e.{column}")) & F.col(f"d.{employer}").eqNullSafe(F.col(f"e.{employer}")), "left")
+    out = back.select(*(F.col(f"d.{c}").alias(c) for c in own), *(F.col(f"e.{k}").alias(k) for k in rules_of))
     score = reduce(lambda a, b: a + b, (F.when(F.col(k).isNotNull(), F.lit(w)).otherwise(0.0) for k, w in rules.RULES_WEIGHTS.items()))
-    return df.withColumn("confidence", F.round(score, 6))
+    return out.withColumn("confidence", F.round(score, 6))
 
 
 def confidence_gate(df: DataFrame, threshold: float = 0.7, backend=None) -> DataFrame:
     """extraction_method and confidence after the gate: rows below the threshold go to `backend` (DataFrame ->
     DataFrame with the same columns); without one they keep their entities as `ai_fallback` with confidence 0.1 at
     least. Only gated rows ever reach a back end."""
+    if backend is None:
+        method = F.when(F.col("confidence") >= threshold, "rules").otherwise("ai_fallback")
+        return df.withColumn("extraction_method", method).withColumn("confidence", F.greatest("confidence", F.when(F.col("confidence") >= threshold, 0.0).otherwise(0.1)))
     sure = df.where(F.col("confidence") >= threshold).withColumn("extraction_method", F.lit("rules"))
     rest = df.where(F.col("confidence") < threshold)
-    rest = backend(rest).withColumn("extraction_method", F.lit("hybrid")) if backend else rest.withColumn("extraction_method", F.lit("ai_fallback")).withColumn("confidence", F.greatest("confidence", F.lit(0.1)))
+    rest = backend(rest).withColumn("extraction_method", F.lit("hybrid"))
     return sure.unionByName(rest)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import entities, rules
 from rosterlake.functions.text import without_dates
+from rosterlake.session import cut
 
 
 def _long(df: DataFrame, key: str, terms: list[tuple[str, Column]]) -> DataFrame:
@@ -33,10 +34,11 @@ def keep_term(c: Column) -> Column:
 def split_documents(people: DataFrame, key: str = "person_id") -> DataFrame:
     """(key, term) of rows with a title: title words, rank, role, specialisation, industry and company, without time
     words; documents of fewer than two terms and terms rarer than max(2, documents / 1000) are left out."""
-    e = entities.title_entities(people.where("current_title is not null and current_title <> ''"), "current_title")
+    e = cut(entities.title_entities(people.where("current_title is not null and current_title <> ''").select(key, "current_title", "normalized_company"), "current_title"))
     words = e.select(key, F.explode(F.split(without_dates(F.col("normalized")), " ")).alias("w")).where(F.length("w") > 2).select(key, F.lit("title").alias("p"), F.col("w").alias("v"))
     rest = e.select(key, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).alias("v")) for p, c in (("seniority", "seniority"), ("role", "role_type"), ("spec", "specialization"), ("industry", "industry_focus"), ("company", "normalized_company"))))).alias("x")).select(key, "x.p", without_dates(F.col("x.v")).alias("v"))
-    terms = words.unionByName(rest).where(F.col("v").isNotNull() & keep_term(F.col("v"))).select(key, F.concat_ws(":", "p", "v").alias("term")).distinct()
+    # read three times below: written once in the shared folder
+    terms = cut(words.unionByName(rest).where(F.col("v").isNotNull() & keep_term(F.col("v"))).select(key, F.concat_ws(":", "p", "v").alias("term")).distinct())
     docs = terms.groupBy(key).count().where("count >= 2").select(key)
     terms = terms.join(docs, key, "left_semi")
     n = docs.agg(F.count("*").alias("n_docs"))

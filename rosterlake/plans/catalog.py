@@ -171,8 +171,7 @@ def title_entities(spark, d):
 
 
 def location_components(spark, d):
-    p = entities.location_parts(F.col("location"))
-    return _people(spark, d).where("location is not null").select("person_id", p["city"].alias("city"), p["state"].alias("state"), p["country"].alias("country"), p["metro_area"].alias("metro_area"))
+    return entities.location_entities(_people(spark, d).where("location is not null").select("person_id", "location"), "location").drop("location")
 
 
 def rule_confidence_gate(spark, d):
