@@ -352,7 +352,7 @@ def aspect_texts(spark, d):
 
 
 def parse_queries(spark, d):
-    asks = ["software engineers at Google in San Francisco", "senior analyst with 5 years of experience", "former consultants who studied economics at yale", "product manager in new york", "recent phd data scientist"]
+    asks = ["software engineers at Google in San Francisco", "senior analyst with 5 years of experience", "former consultants who studied economics at stanford", "product manager in new york", "recent phd data scientist"]
     rows = [(a, kind, str(v)) for a in asks for kind, vs in query.parse(a)["entities"].items() for v in vs]
     return spark.createDataFrame(rows, "query string, kind string, value string")
 
