@@ -133,7 +133,7 @@ def record_hash_dedup(spark, d):
 
 
 def fuzzy_dedup(spark, d):
-    return dedup.greedy(_people(spark, d), "person_id", "name", "current_company", ["graduation_year", "major"])
+    return dedup.greedy(_people(spark, d), "person_id", "name", "current_company", [])
 
 
 def year_parse(spark, d):

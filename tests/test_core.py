@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import date
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import entities, normalize, quality, rules
 from rosterlake.functions.text import fuzzy_ratio, ratio, title_case
 from rosterlake.operators import dedup, expand, relations, search, terms, vectors
-from rosterlake.plans import query
+from rosterlake.plans import catalog, query
 from rosterlake.sources import sinks
 from rosterlake.sources.readers import EngineConfig, read_any, read_files
 from rosterlake.streaming.ingest import latest_version, merge_stream
@@ -79,6 +80,32 @@ def test_greedy_keeps_chain_ends(spark):
     assert sorted(r[0] for r in dedup.greedy(df, "id", "n", "c", ["blk"], 89, 85).collect()) == [1, 3, 4]
 
 
+def test_fuzzy_dedup_asks_name_and_company_only(spark, tmp_path):
+    people = [("a1", "Zoltan Dajsomgep", "Hamzek Motors", 1999, "Law"), ("a2", "zoltan dajsomgep", "hamzek motors", 1999, None), ("a3", "Zoltan Dajsomgpe", "Hamzek Motor", 2001, "law"), ("a4", "Zoltan Dajsomgep", "Galnez Pharma", 1999, "Law"), ("a5", "Agnes Fowzekzos", None, None, None), ("a6", "Agnes Fowzekzos", None, 2003, "Art")]
+    spark.createDataFrame(people, "person_id string, name string, current_company string, graduation_year int, major string").write.parquet(f"{tmp_path}/alumni.parquet")
+    assert sorted(r[0] for r in catalog.fuzzy_dedup(spark, str(tmp_path)).collect()) == ["a1", "a4", "a5"]
+
+
+def test_greedy_is_whole(spark):
+    r = random.Random(5)
+    stems, firms = ["anna kovlek", "bela tarmos", "carla zimpet junior"], ["hamzek motors", "hamzek motor", "galnez airlines services", ""]
+
+    def spoil(s):
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(s) + 1)
+            s = r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice("abk") + s[i:]])
+        return s
+
+    rows = [(i, spoil(r.choice(stems)), spoil(r.choice(firms))) for i in range(300)]
+    same = lambda x, y, above: x == y or ratio(x, y) > above
+    kept = []
+    for k, n, c in rows:
+        if not n or not any(same(n, m, 90) and same(c, e, 85) for _, m, e in kept):
+            kept.append((k, n, c))
+    df = spark.createDataFrame(rows, "id int, n string, c string")
+    assert sorted(x[0] for x in dedup.greedy(df, "id", "n", "c", []).collect()) == [x[0] for x in kept]
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
