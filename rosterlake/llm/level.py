@@ -20,6 +20,8 @@ from rosterlake.session import cut
 
 #: Least number of blank-separated words of running text, and of words of a sentence.
 LEAST_WORDS, LEAST_SENTENCE = 30, 3
+#: Least number of words of a sentence that a text or paragraph ends without a mark; headings and by-lines have fewer.
+LEAST_OPEN = 12
 #: Width and number of the steps of a profile: words, letters a word (in tenths), long words; and number of commas told apart.
 WORD_STEP, WORD_STEPS, LETTER_STEP, LETTER_STEPS, LONG_STEP, LONG_STEPS, COMMAS = 4, 16, 10, 20, 2, 16, 3
 #: Letters of a long word.
@@ -71,16 +73,32 @@ def _sentences(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     empty = nl & (gap_nl - np.where(before >= 0, gap_nl[np.maximum(before, 0)], 0) >= 2)
     cut_at = stop | empty | (buf == BREAK) | text_end | (nl & (plain[row] | in_list))
     number = np.cumsum(np.r_[False, cut_at[:-1]])
+    # lines among others that each are a sentence, though not nearly all of the text: no mark, and all start with a capital
+    begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    ended = np.zeros(len(begin), bool)
+    ended[number[stop]] = True
+    own = np.flatnonzero(inside & (at <= ends[line_of_start]))
+    own = own[at[own] > nxt_text[begin[number[at[own]]]]]
+    more = np.bincount(number[at[own]], minlength=len(begin))
+    lined = ~ended & ~plain[row[begin]] & (more >= 2) & (np.bincount(number[at[own]], weights=upper[own], minlength=len(begin)) >= 0.9 * more)
+    by_line = lined[number]
+    number = np.cumsum(np.r_[False, (cut_at | (nl & by_line))[:-1]])
     w = number[s.start]
     total = int(number[-1]) + 1 if len(number) else 0
+    begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     ended = np.zeros(total, bool)
     ended[number[stop]] = True
-    has_mark = ended | plain[row[np.flatnonzero(np.r_[True, number[1:] != number[:-1]])]]
     bad = np.zeros(total, bool)
     bad[number[in_list & ~blank]] = True
     count = np.bincount(w, minlength=total)
+    # the end of a text or paragraph ends a sentence without a mark, unless it is short or reads as fields or a list
+    fields = np.zeros(total, bool)
+    fields[number[buf == 0x7C]] = True
+    commas = np.bincount(number[buf == 0x2C], minlength=total)
+    open_end = (count >= LEAST_OPEN) & ~fields & (4 * commas <= count)
+    has_mark = ended | plain[row[begin]] | by_line[begin] | open_end
     good = has_mark & ~bad & (count >= LEAST_SENTENCE)
-    return np.where(good[w], w, -1), row[np.flatnonzero(np.r_[True, number[1:] != number[:-1]])]
+    return np.where(good[w], w, -1), row[begin]
 
 
 def _profiles(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +136,12 @@ def _blank_words(s: Scan) -> np.ndarray:
     piece = np.cumsum(blank)[s.start[ok]]
     rows = s.word_row[ok]
     new = np.r_[True, (piece[1:] != piece[:-1]) | (rows[1:] != rows[:-1])]
-    return np.bincount(rows[new], minlength=s.n)
+    # a lone & between two words of a sentence is a blank-separated word too
+    sign = np.flatnonzero((s.buf == 0x26) & np.r_[False, blank[:-1]] & np.r_[blank[1:], False])
+    after = np.searchsorted(s.start, sign)
+    sign_at = after[(after > 0) & (after < len(s.start))]
+    sign_at = sign_at[(sent[sign_at] >= 0) & (sent[sign_at] == sent[sign_at - 1])]
+    return np.bincount(rows[new], minlength=s.n) + np.bincount(s.word_row[sign_at], minlength=s.n)
 
 
 class Languages:
@@ -166,7 +189,9 @@ def clamp(texts: list[str], langs: np.ndarray, levels: list[float]) -> tuple[np.
 def reading_levels(documents: DataFrame, samples: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, level, difficulty): level 1 to 5 of each document with enough running text, and its continuous mean.
 
-    Texts that are null, blank, bare lists or in none of the samples' languages give no row; repeated texts each do.
+    Texts that are null, blank, bare lists or in none of the samples' languages give no row; repeated texts each do. A
+    sentence may end without a mark where its text, paragraph or line does; alone it needs LEAST_OPEN words to be told
+    from a heading.
     """
     spark = documents.sparkSession
     graded = samples.select("text", "lang", "level").where("text is not null and lang is not null and level is not null").limit(MAX_SAMPLES + 1).collect()

@@ -193,6 +193,27 @@ def test_levels(spark):
     assert level.reading_levels(spark.createDataFrame([], "doc_id long, text string"), samples).count() == 0
 
 
+def test_levels_of_unended_sentences(spark):
+    rng = random.Random(2)
+    samples = spark.createDataFrame([(_prose(rng, lv), "en", lv) for lv in (1, 3, 5) for _ in range(8)], "text string, lang string, level int")
+    hard = " ".join(["institutional considerable administration characterised notwithstanding"] * 7)
+    easy = " ".join(["We saw the old dog."] * 4)
+    fields = "Ann Lee | " + hard
+    docs = [(1, hard), (2, f"{easy}\n\n{hard}"), (3, fields), (4, ", ".join(hard.split())), (5, "* " + hard), (6, "Institutional administration")]
+    got = {r["doc_id"]: r["level"] for r in level.reading_levels(spark.createDataFrame(docs, "doc_id long, text string"), samples).collect()}
+    assert got == {1: 5, 2: 5}
+
+
+def test_lines_among_wrapped_text():
+    text = "We met a man and\nthen he went\nto town.\nWe saw the dog\nThe dog saw us\nOur town was old\n"
+    _, _, words = level._profiles(scan(pa.array([text], pa.string())))
+    assert words.tolist() == [10, 4, 4, 4]
+
+
+def test_blank_words_count_a_lone_sign():
+    assert level._blank_words(scan(pa.array(["We saw Hamzek & Sons in town.", "A & B\n\n* A & B"], pa.string()))).tolist() == [7, 0]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 24))
