@@ -137,7 +137,7 @@ def fuzzy_dedup(spark, d):
 
 
 def year_parse(spark, d):
-    return view(spark, d, "documents").select("doc_id", normalize.year(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 100_000)).alias("year"))
+    return view(spark, d, "documents").select("doc_id", normalize.year(F.regexp_replace("text", r"\s+", " ")).alias("year"))
 
 
 def upsert_touch(spark, d):

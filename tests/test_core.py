@@ -86,6 +86,11 @@ def test_fuzzy_dedup_asks_name_and_company_only(spark, tmp_path):
     assert sorted(r[0] for r in catalog.fuzzy_dedup(spark, str(tmp_path)).collect()) == ["a1", "a4", "a5"]
 
 
+def test_year_parse_reads_long_texts_to_their_end(spark, tmp_path):
+    spark.createDataFrame([(1, "word " * 30_000 + "left in 1987, back in 2001"), (2, None), (3, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalog.year_parse(spark, str(tmp_path)).collect())) == [(1, 1987), (2, None), (3, None)]
+
+
 def test_greedy_is_whole(spark):
     r = random.Random(5)
     stems, firms = ["anna kovlek", "bela tarmos", "carla zimpet junior"], ["hamzek motors", "hamzek motor", "galnez airlines services", ""]
