@@ -22,6 +22,8 @@ from rosterlake.session import shuffle_width
 
 #: Most vectors of an aspect that codebooks are fitted on (drawn by hash of the id); all vectors are encoded.
 SAMPLE = 16_000
+#: An aspect with fewer vectors than this in the sample is drawn anew from all vectors.
+LEAST_DRAWN = 256
 #: Vectors per list aimed at, most lists, residual codebooks and their entries, width of the beam.
 LIST_ROWS, MAX_LISTS, STAGES, ENTRIES, BEAM = 160, 1024, 4, 64, 4
 #: A query visits every list whose entry is within MARGIN of the closest by cosine, at most PROBES.
@@ -207,23 +209,34 @@ def _search_group(t: pa.Table, book: Codebooks, k: int) -> Iterator[tuple[np.nda
                     yield np.array([f], dtype=object), np.array([i], dtype=object), np.ones(1)
 
 
-def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5) -> DataFrame:
+def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5, aspects: tuple[str, ...] | None = None) -> DataFrame:
     """(aspect, id, other, sim): for each of `vectors` (aspect, id, vec array<float>) its k most similar others.
 
     Vectors are usable (one length within an aspect, finite, not all zero) and ids distinct within an aspect; others
     of equal similarity go by id. `sample` has rows of the same form for the codebooks, `total` is about the number of
-    ids. A vector alone in its aspect has no neighbour; an empty table gives no rows.
+    ids; aspects rare in the sample, or not in it, are drawn from `vectors`. `aspects` names those that may occur and
+    saves a pass to find them. A vector alone in its aspect has no neighbour; an empty table gives no rows.
     """
     drawn: dict[str, list[np.ndarray]] = {}
-    for r in sample.select("aspect", "vec").toArrow().to_batches():
-        names = r.column(0).to_pylist()
-        for a in sorted(set(names)):
-            part = r.column(1).take(pa.array([i for i, n in enumerate(names) if n == a]))
-            drawn.setdefault(a, []).append(part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float32))
+
+    def draw(df: DataFrame) -> None:
+        for r in df.select("aspect", "vec").toArrow().to_batches():
+            names = r.column(0).to_pylist()
+            for a in sorted(set(names)):
+                part = r.column(1).take(pa.array([i for i, n in enumerate(names) if n == a]))
+                drawn.setdefault(a, []).append(part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(np.float32))
+
+    draw(sample)
+    known = aspects or [r[0] for r in vectors.select("aspect").where("aspect is not null").distinct().collect()]
+    rare = sorted(a for a in known if sum(len(x) for x in drawn.get(a, ())) < LEAST_DRAWN)
+    for a in rare:
+        drawn.pop(a, None)
+        draw(vectors.where(F.col("aspect") == a).orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
     books = {}
     for a, xs in drawn.items():
         x = np.concatenate(xs)
-        books[a] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), total)
+        # all vectors of a rare aspect were drawn, so that its lists follow its own number
+        books[a] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), len(x) if a in rare and len(x) < SAMPLE else total)
     names = sorted(books)
     placed = _place(vectors.where(F.col("aspect").isin(names)) if names else vectors.limit(0), books, k)
     placed = placed.repartition(shuffle_width(vectors.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -294,7 +307,7 @@ def people_neighbours(profiles: DataFrame, multi: DataFrame, k: int = 5) -> Data
 
     sample = usable_profiles(profiles.where(part)).select("aspect", F.col("person_id").alias("id"), "vec").unionByName(long(usable_aspects(multi.where(part))))
     vectors = latest(usable_profiles(profiles), ["aspect", "vec"]).select("aspect", F.col("person_id").alias("id"), "vec").unionByName(long(latest(usable_aspects(multi), list(aspects))))
-    return neighbours(vectors, sample, n, k)
+    return neighbours(vectors, sample, n, k, ("profile", *aspects))
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

@@ -231,6 +231,15 @@ def test_neighbours(spark):
     assert knn.neighbours(df.limit(0), df.limit(0), 0).count() == 0
 
 
+def test_neighbours_of_an_aspect_that_was_not_drawn(spark):
+    rng = np.random.default_rng(4)
+    rows = [(a, f"{i:03d}", [float(v) for v in rng.normal(size=8)]) for a, n in (("common", 300), ("rare", 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "aspect string, id string, vec array<float>")
+    for aspects in (None, ("common", "rare", "in no row")):
+        got = knn.neighbours(df, df.where("aspect = 'common'"), 300, 5, aspects).groupBy("aspect").count().collect()
+        assert sorted(map(tuple, got)) == [("common", 1500), ("rare", 60)]
+
+
 def test_usable_vectors(spark):
     good, t = [0.1] * 384, datetime(2020, 1, 1)
     rows = [("a", good, t), ("b", None, t), ("c", [], t), ("d", [0.0] * 384, t), ("e", [float("nan")] * 384, t), ("f", good[:-1], t)]
