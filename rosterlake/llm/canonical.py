@@ -1,8 +1,8 @@
 """Free-typed values mapped to the entry of a canonical list, unmatched values reported.
 
 Each distinct value is read in several ways (names.py); a BK-tree over the reference keys, built on a true edit
-metric, returns every entry within the threshold, and the best reading wins. Reference lists are split into shards
-of bounded size; each shard has a tree of its own and the shard winners merge by score.
+metric, returns every entry within the threshold, and the best reading wins. The keys of a long list are split into
+trees of bounded size, asked one after the other; words, sectors and unique short forms are those of the whole list.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from rosterlake.functions.quality import is_usable, squeeze
 from rosterlake.llm import names
 from rosterlake.llm.metric import BKTree, Strings, distances
 
-#: Most reference entries in one tree; a longer list is cut into shards.
+#: Most reference keys in one tree; a longer list has several.
 SHARD_ROWS = 20_000
 #: Metric radius of the tree search; it holds every pair within MAX_EDITS edits where a swap counts as one.
 RADIUS, MAX_EDITS = 4, 2
@@ -32,25 +32,27 @@ def allowed_edits(n: int) -> int:
 class KeyIndex:
     """Reference keys with their ids, looked up within the allowed edits."""
 
-    def __init__(self, keys: list[tuple[str, int]]):
+    def __init__(self, keys: list[tuple[str, int]], tree_rows: int = SHARD_ROWS):
         self.ids: dict[str, list[int]] = {}
         for k, i in keys:
             if k:
                 self.ids.setdefault(k, []).append(i)
-        self.tree = BKTree(list(self.ids) or [""])
+        distinct = list(self.ids)
+        self.trees = [BKTree(distinct[lo : lo + tree_rows]) for lo in range(0, len(distinct), tree_rows)]
 
     def lookup(self, queries: list[str]) -> list[list[tuple[int, str]]]:
         """Per query the (edits, key) of every reference key within the allowed edits, best first."""
         out: list[list[tuple[int, str]]] = [[] for _ in queries]
         if not self.ids or not queries:
             return out
-        q, e, _ = self.tree.within(queries, RADIUS)
-        qs = Strings(queries, self.tree.refs.table)
-        d = distances(qs, self.tree.refs, q, e, swaps=True)
-        for a, b, k in zip(q.tolist(), e.tolist(), d.tolist()):
-            key = self.tree.refs.values[b]
-            if k <= min(allowed_edits(len(key)), allowed_edits(len(queries[a]))):
-                out[a].append((k, key))
+        for tree in self.trees:
+            q, e, _ = tree.within(queries, RADIUS)
+            qs = Strings(queries, tree.refs.table)
+            d = distances(qs, tree.refs, q, e, swaps=True)
+            for a, b, k in zip(q.tolist(), e.tolist(), d.tolist()):
+                key = tree.refs.values[b]
+                if k <= min(allowed_edits(len(key)), allowed_edits(len(queries[a]))):
+                    out[a].append((k, key))
         for x in out:
             x.sort()
         return out
@@ -59,11 +61,11 @@ class KeyIndex:
 class CompanyMatcher:
     """Rows: company_id, company, short_name."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], tree_rows: int = SHARD_ROWS):
         words = [names.company_tokens(r[1], frozenset())[0] for r in rows]
         self.sectors = frozenset(w for ws in words for w in ws[-1:] if len(ws) > 1)
         forms = [(names.company_forms(r[1], self.sectors), r) for r in rows]
-        self.index = {k: KeyIndex([(f[k], r[0]) for f, r in forms if k in f]) for k in "nbhi"}
+        self.index = {k: KeyIndex([(f[k], r[0]) for f, r in forms if k in f], tree_rows) for k in "nbhi"}
         self.heads = {f["n"]: f.get("h", f["n"]) for f, _ in forms if f}
         self.acronyms: dict[str, int] = {}
         for _, r in forms:
@@ -100,10 +102,10 @@ class CompanyMatcher:
 class TitleMatcher:
     """Rows: title_id, title."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], tree_rows: int = SHARD_ROWS):
         words = [names.title_words(names.fold(r[1])) for r in rows]
         self.vocabulary = frozenset(w for ws in words for w in ws)
-        self.index = KeyIndex([(names.title_key(ws), r[0]) for ws, r in zip(words, rows)])
+        self.index = KeyIndex([(names.title_key(ws), r[0]) for ws, r in zip(words, rows)], tree_rows)
 
     def match(self, values: list[str]) -> list[tuple[int, float]]:
         at, rank, keys = [], [], []
@@ -125,9 +127,9 @@ class PlaceMatcher:
     """Rows: location_id, location, city, region, region_code, country. A city named twice is the first listed unless
     the value names its region or country; a named region that is not the city's own means another place."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], tree_rows: int = SHARD_ROWS):
         self.rows = {r[0]: tuple(names.fold(x or "") for x in r[2:6]) for r in rows}
-        self.index = KeyIndex([(v[0].replace(" ", ""), i) for i, v in sorted(self.rows.items())])
+        self.index = KeyIndex([(v[0].replace(" ", ""), i) for i, v in sorted(self.rows.items())], tree_rows)
         self.around = Strings(sorted({x for v in self.rows.values() for x in v[1:] if x}))
 
     def _context(self, part: str, row: tuple) -> bool:
@@ -168,25 +170,16 @@ def map_to_list(values: DataFrame, refs: DataFrame, kind: str, shard_rows: int =
     off and 0.5 where the name was shortened. Ties go to the smaller id. An empty list leaves every value unmatched.
     """
     distinct = values.select("value").where(F.col("value").isNotNull()).distinct()
-    n = refs.count()
-    shards = max(1, -(-n // shard_rows))
-    found = None
-    for s in range(shards):
-        part = refs if shards == 1 else refs.where(F.pmod(F.xxhash64(F.col(refs.columns[0])), F.lit(shards)) == s)
-        rows = [tuple(r) for r in part.orderBy(refs.columns[0]).limit(2 * shard_rows).collect()]  # a hash shard stays near shard_rows
-
-        def run(batches: Iterator[pd.DataFrame], rows: list[tuple] = rows) -> Iterator[pd.DataFrame]:
-            matcher = MATCHERS[kind](rows) if rows else None
-            for b in batches:
-                v = b["value"].tolist()
-                m = matcher.match(v) if matcher else [(0, 99.0)] * len(v)
-                yield pd.DataFrame({"value": v, "ref_id": [int(x[0]) for x in m], "score": [float(x[1]) for x in m]})
-
-        one = distinct.mapInPandas(run, "value string, ref_id int, score double")
-        found = one if found is None else found.unionByName(one)
-    if shards == 1:
-        return found
-    return found.groupBy("value").agg(F.min(F.struct("score", (F.col("ref_id") == 0).alias("none"), "ref_id")).alias("m")).select("value", F.col("m.ref_id").alias("ref_id"), F.col("m.score").alias("score"))
+    rows = [tuple(r) for r in refs.orderBy(refs.columns[0]).collect()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = MATCHERS[kind](rows, shard_rows) if rows else None
+        for b in batches:
+            v = b["value"].tolist()
+            m = matcher.match(v) if matcher else [(0, 99.0)] * len(v)
+            yield pd.DataFrame({"value": v, "ref_id": [int(x[0]) for x in m], "score": [float(x[1]) for x in m]})
+
+    return distinct.mapInPandas(run, "value string, ref_id int, score double")
 
 
 def alumni_to_lists(alumni: DataFrame, companies: DataFrame, titles: DataFrame, locations: DataFrame) -> DataFrame:

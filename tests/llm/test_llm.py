@@ -214,6 +214,13 @@ def test_blank_words_count_a_lone_sign():
     assert level._blank_words(scan(pa.array(["We saw Hamzek & Sons in town.", "A & B\n\n* A & B"], pa.string()))).tolist() == [7, 0]
 
 
+def test_short_forms_are_unique_in_the_whole_list(spark):
+    refs = spark.createDataFrame([(1, "Hamzek Bank Group", None), (2, "Hamzek Bank Holdings", None), (3, "Zospun Foods Group", None)], "company_id int, company string, short_name string")
+    values = spark.createDataFrame([("Hamzek Bank",), ("Zospun Foods",)], "value string")
+    for rows in (1, 2, 100):
+        assert {r["value"]: r["ref_id"] for r in canonical.map_to_list(values, refs, "company", shard_rows=rows).collect()} == {"Hamzek Bank": 0, "Zospun Foods": 3}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 24))
