@@ -1,8 +1,8 @@
 """Items that appear together far more often than chance: stripes with log-likelihood ratio.
 
-Each task folds its baskets into stripes - per item the array of its neighbours and their counts - before anything
-is shuffled; stripes of one item are merged by key, spread over salts of the neighbour, so that a hot item's stripe is
-never gathered in one task. Items below the support cannot be in a case and leave the baskets first.
+Each task folds its baskets into stripes - per item the array of its neighbours and their counts, cut into pieces by a
+salt of the neighbour - before anything is shuffled; the stripes are then exploded and summed as (item, other) pairs,
+so that a hot item's stripe is never gathered in one task. Items below the support cannot be in a case and leave the baskets first.
 """
 
 from __future__ import annotations
