@@ -3,7 +3,8 @@
 Levenshtein distance (a metric) is computed bit-parallel for whole arrays of pairs: one 64-bit word per pair holds a
 column of the dynamic programme, so a pair costs a few vector operations per letter. Strings above 64 letters go
 through a plain programme. The optimal-string-alignment count (one swap of neighbours is one edit) serves only as a
-check after a metric search: it lies between half the metric and the metric.
+check after a metric search: it lies between half the metric and the metric. The unrestricted Damerau-Levenshtein
+distance counts a swap as one edit and is a metric still, so that cells cut by it need the smallest radius.
 """
 
 from __future__ import annotations
@@ -93,6 +94,37 @@ def distances(left: Strings, right: Strings, i: np.ndarray, j: np.ndarray, swaps
     return out
 
 
+def damerau(texts: Strings, pivot: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Damerau-Levenshtein distance (a metric) of every text to one string, given by the codes of its letters."""
+    out = np.zeros(len(texts.values), np.int64)
+    m = len(pivot)
+    for lo in range(0, len(out), step):
+        codes, size = texts.codes[lo : lo + step], texts.len[lo : lo + step]
+        n, width = len(size), int(size.max())
+        far = np.int16(m + width + 1)
+        # cost[i, j]: first i - 1 letters of the pivot against the first j - 1 of each text; row and column 0 are walls
+        cost = np.full((m + 2, width + 2, n), far, np.int16)
+        cost[1, 1:] = np.arange(width + 1, dtype=np.int16)[:, None]
+        cost[1:, 1] = np.arange(m + 1, dtype=np.int16)[:, None]
+        seen = np.zeros(len(texts.table) + 2, np.int64)  # last row of each letter of the pivot
+        for i, letter in enumerate(pivot.tolist(), 1):
+            met = np.zeros(n, np.int64)  # last column of this letter in each text
+            for j in range(1, width + 1):
+                x = codes[:, j - 1]
+                same = x == letter
+                v = np.minimum(cost[i, j] + ~same, np.minimum(cost[i + 1, j], cost[i, j + 1]) + np.int16(1))
+                row = seen[x]
+                at = np.flatnonzero((row > 0) & (met > 0))
+                if len(at):
+                    r, c = row[at], met[at]
+                    v[at] = np.minimum(v[at], cost[r, c, at] + (i - r) + (j - c) - 1)
+                cost[i + 1, j + 1] = v
+                met[same] = j
+            seen[letter] = i
+        out[lo : lo + step] = cost[m + 1, size + 1, np.arange(n)]
+    return out
+
+
 class BKTree:
     """Burkhard-Keller tree over reference strings; answers whole arrays of queries level by level."""
 

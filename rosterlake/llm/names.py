@@ -49,6 +49,8 @@ _AFTER = re.compile(r"[,\s]+(?:mba|phd|ph\.d|jd|md|esq|cpa|cfa|pmp|jr|sr|ii|iii|
 
 def fold(s: str) -> str:
     """Lower case, accents off, blanks squeezed."""
+    if s.isascii():
+        return " ".join(s.split()).lower()
     t = unicodedata.normalize("NFKD", s)
     return re.sub(r"\s+", " ", "".join(c for c in t if not unicodedata.combining(c))).strip().lower()
 
@@ -230,12 +232,19 @@ def respelled(s: str) -> str:
     """One spelling for sounds that are often written differently."""
     for a, b in (("ph", "f"), ("ck", "k"), ("y", "i"), ("qu", "kv"), ("tz", "z")):
         s = s.replace(a, b)
-    return re.sub(r"[^a-z]", "", s)
+    return s if s.isascii() and s.isalpha() else re.sub(r"[^a-z]", "", s)
+
+
+_PLAIN = re.compile(r"([a-z]{2,}) ([a-z]{2,})")
+_MARKED = re.compile(r"(?:dr|prof|professor|mr|mrs|ms|miss|sir|dame|rev|hon) .*|.* (?:mba|phd|jd|md|esq|cpa|cfa|pmp|jr|sr|ii|iii|iv|msc|bsc|ma|ba|meng|llm)")
 
 
 def person_parts(s: str) -> tuple[str, str, str] | None:
     """(given name, family name respelled, family name), folded; None if there are not two words. Middle names, titles, marks, maiden and
     second family names are left out; "Family, Given" is turned round."""
+    low = s.lower()
+    if (m := _PLAIN.fullmatch(low)) and not _MARKED.fullmatch(low):
+        return m[1], respelled(m[2]), m[2]
     t = re.sub(r"\([^)]*\)", " ", fold(s))
     t = re.sub(r"\s+", " ", t).strip(" ,")
     while (u := _AFTER.sub("", t)) != t:

@@ -20,22 +20,23 @@ from rosterlake.functions.quality import is_stand_in, squeeze
 from rosterlake.llm import names
 from rosterlake.llm.graph import components
 from rosterlake.llm.metric import BKTree, Strings, distances
-from rosterlake.llm.radius import cell_join, cells, edits
+from rosterlake.llm.radius import CELL_ROWS, Rows, cell_join, cells
 from rosterlake.session import broadcast_if_small, cut
 
-#: Edits (a swap is one) between two spellings of one name; the metric counts a swap as two.
+#: Edits (a swap is one) between two spellings of one name.
 EDITS = 1
 #: Two edits tie organisations only if first words are within one edit of each other.
 EDITS_APART = 2
+#: Most letters by which respelled family names differ where the typed ones are one edit apart.
+RESPELLED = 3
 #: Weight of a listed organisation where short forms clash: above any number of rows.
 LISTED = 1 << 50
 #: Shortest name that may hold an edit.
 LEAST_LETTERS = 5
 #: A last word counts as a trade word if it follows this share of the spellings' distinct first words (at least 5).
 TRADE_SHARE = 0.003
-#: Most trade words and given names kept for the readings (the shares below bound them).
-MAX_WORDS = 2000
-#: A typed given name is a known one if it has this share of the rows (at least 3).
+#: A typed given name is a known one if it has this share of the rows (at least 3). Both shares bound what they let
+#: through: no more than 1 / 0.003 trade words and 1 / 0.0005 given names pass, whatever the number of rows.
 GIVEN_SHARE = 0.0005
 
 
@@ -47,7 +48,7 @@ def _trade_words(keys: DataFrame) -> frozenset[str]:
 
     n = keys.count()
     counted = keys.mapInPandas(run, "last string, head string").groupBy("last").agg(F.countDistinct("head").alias("n"))
-    rows = counted.where(F.col("n") >= max(5, int(TRADE_SHARE * n))).orderBy(F.desc("n"), "last").limit(MAX_WORDS).collect()
+    rows = counted.where(F.col("n") >= max(5, int(TRADE_SHARE * n))).orderBy(F.desc("n"), "last").collect()
     words: list[str] = []
     for w, k in ((r[0], r[1]) for r in rows):  # a rarer word one edit or a few letters from a kept one is a misspelling
         if not any(names._one_edit(w, x) or (len(w) < len(x) and w[0] == x[0] and (x.startswith(w) or (names.subsequence(w, x) and sum(c in "aeiou" for c in w) <= 1))) for x in words):
@@ -56,20 +57,22 @@ def _trade_words(keys: DataFrame) -> frozenset[str]:
 
 
 def _last_words(listed: DataFrame) -> frozenset[str]:
-    """Last words of the listed names: trade words even where the spellings are too few to tell."""
+    """Last words of the listed names: trade words even where the spellings are too few to tell. The list is one that a
+    task can hold, as in canonical.py."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ws = [names.company_tokens(k, frozenset())[0] for k in b["company"]]
             yield pd.DataFrame({"w": [w[-1] for w in ws if len(w) > 1 and len(w[-1]) > 2]})
 
-    rows = listed.where("company is not null").select("company").mapInPandas(run, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(MAX_WORDS).collect()
+    rows = listed.where("company is not null").select("company").mapInPandas(run, "w string").distinct().collect()
     return frozenset(r[0] for r in rows)
 
 
 def company_spellings(alumni: DataFrame, column: str = "current_company") -> DataFrame:
     """(key, w): the distinct spellings in lower case with blanks squeezed, and their rows. Stand-ins are left out."""
-    return alumni.where(~is_stand_in(F.col(column))).groupBy(F.lower(squeeze(F.col(column))).alias("key")).agg(F.count("*").alias("w"))
+    typed = alumni.groupBy(column).agg(F.count("*").alias("w"))
+    return typed.where(~is_stand_in(F.col(column))).groupBy(F.lower(squeeze(F.col(column))).alias("key")).agg(F.sum("w").alias("w"))
 
 
 def organisations(alumni: DataFrame, column: str = "current_company", listed: DataFrame | None = None) -> DataFrame:
@@ -101,29 +104,29 @@ def organisations(alumni: DataFrame, column: str = "current_company", listed: Da
     spelled = cut(keys.mapInPandas(read, "key string, w long, kind string, s string, head string, traded boolean, i string, a string, b string, h string"))
     strings = cut(spelled.where("kind = 'n'").groupBy("s").agg(F.sum("w").alias("w"), F.max_by("head", "w").alias("head"), F.max("traded").alias("traded"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("w"))).alias(c) for c in "iabh")))
 
-    place = cells(strings.select(F.substring("s", 1, 0).alias("block"), "s", "w"), 2 * EDITS_APART)
-    members = place.join(strings.select("s", "w", "head"), "s")
+    def reach(size: np.ndarray) -> np.ndarray:
+        return np.where(size >= 2 * LEAST_LETTERS, EDITS_APART, EDITS)
 
-    def compare(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        d = edits(g, "s", i, j, EDITS_APART)
-        size = g["s"].str.len().to_numpy()
-        ok = (d <= EDITS) & (np.minimum(size[i], size[j]) >= LEAST_LETTERS)
-        two = np.flatnonzero((d == EDITS_APART) & (np.minimum(size[i], size[j]) >= 2 * LEAST_LETTERS))
+    members = cells(strings.select(F.lit("").alias("block"), "s"), reach).join(strings.select("s", "w", "head"), "s")
+
+    def compare(g: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d = g.edits("s", i, j, EDITS_APART)
+        size = g.rows["s"].str.len().to_numpy()
+        short = np.minimum(size[i], size[j])
+        ok = (d <= EDITS) & (short >= LEAST_LETTERS)
+        two = np.flatnonzero((d == EDITS_APART) & (short >= 2 * LEAST_LETTERS))
         if len(two):
-            h = edits(g, "head", i[two], j[two], EDITS)
-            ok[two] = h <= EDITS
-            hs = g["head"].to_numpy()
-            whole = g["s"].to_numpy()
-            ok[two] &= (hs[i[two]] != whole[i[two]]) & (hs[j[two]] != whole[j[two]])
+            whole, head = g["s"], g["head"]
+            ok[two] = (g.edits("head", i[two], j[two], EDITS) <= EDITS) & (head[i[two]] != whole[i[two]]) & (head[j[two]] != whole[j[two]])
         return ok
 
-    def emit(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        s, w = g["s"].to_numpy(), g["w"].to_numpy()
+    def emit(g: Rows, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        s, w = g["s"], g["w"]
         up = (w[i] < w[j]) | ((w[i] == w[j]) & (s[i] > s[j]))
         a, b = np.where(up, i, j), np.where(up, j, i)
-        return pd.DataFrame({"a": s[a], "b": s[b], "d": edits(g, "s", a, b, EDITS_APART), "wb": w[b]})
+        return pd.DataFrame({"a": s[a], "b": s[b], "d": g.edits("s", a, b, EDITS_APART), "wb": w[b]})
 
-    near = cell_join(members, ["block", "cell"], ["s", "w", "head"], compare, "a string, b string, d long, wb long", emit)
+    near = cell_join(members, ["block", "cell"], ["s", "w", "head"], "s", EDITS_APART, compare, "a string, b string, d long, wb long", emit)
     tied = near.groupBy("a").agg(F.min(F.struct("d", F.negative("wb").alias("o"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     root = components(tied)
     clusters = cut(strings.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("org", F.coalesce("component", "s")))
@@ -163,8 +166,11 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
     Blocks are graduation year (null is a year of its own) and organisation (null and stand-ins are one). A name
     without two words belongs to no one else. Rows that read alike in a block are one person.
     """
-    rows = alumni.select("person_id", "name", "graduation_year", F.lower(squeeze("current_company")).alias("key"), is_stand_in(F.col("current_company")).alias("none")).where("name is not null and person_id is not null")
-    rows = rows.join(orgs, "key", "left").select("person_id", "name", F.concat_ws("|", F.coalesce(F.col("graduation_year").cast("string"), F.lit("")), F.when(F.col("none"), F.lit("-")).otherwise(F.coalesce("org", "key"))).alias("block"))
+    raw = F.coalesce("current_company", F.lit(""))
+    named = alumni.select(raw.alias("raw")).distinct().select("raw", F.lower(squeeze("raw")).alias("key"), is_stand_in(F.col("raw")).alias("none")).join(orgs, "key", "left")
+    named = broadcast_if_small(cut(named.select("raw", F.when(F.col("none"), F.lit("-")).otherwise(F.coalesce("org", "key")).alias("employer"))))
+    rows = alumni.select("person_id", "name", "graduation_year", raw.alias("raw")).where("name is not null and person_id is not null").join(named, "raw")
+    rows = rows.select("person_id", "name", F.concat_ws("|", F.coalesce(F.col("graduation_year").cast("string"), F.lit("")), "employer").alias("block"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,10 +179,10 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
 
     parsed = cut(rows.mapInPandas(read, "person_id string, name string, block string, given string, family string, typed string").where("given is not null and family <> ''"))
     n = parsed.count()
-    known = [r[0] for r in parsed.groupBy("given").count().where((F.col("count") >= max(3, int(GIVEN_SHARE * n))) & (F.length("given") > 2)).orderBy(F.desc("count"), "given").limit(MAX_WORDS).collect()]
+    frequent = parsed.groupBy("given").count().where((F.col("count") >= max(3, int(GIVEN_SHARE * n))) & (F.length("given") > 2)).orderBy(F.desc("count"), "given").collect()
     # misspellings repeat too: a known name within one edit of one twenty times as frequent is none
-    freq = {r[0]: r[1] for r in parsed.where(F.col("given").isin(known)).groupBy("given").count().collect()} if known else {}
-    known = [k for k in known if k in names._FORMAL or not any(freq[o] > 20 * freq[k] and names._one_edit(k, o) for o in known)]
+    freq = {r[0]: r[1] for r in frequent}
+    known = [k for k in freq if k in names._FORMAL or not any(freq[o] > 20 * freq[k] and names._one_edit(k, o) for o in freq)]
     words = sorted({*known, *names._FORMAL})
 
     def stand_for(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,43 +197,51 @@ def person_classes(alumni: DataFrame, orgs: DataFrame) -> DataFrame:
                 for a, k, x in zip(q, e, d):
                     if x <= 1:
                         near.setdefault(odd[a], set()).add(words[k])
-            yield pd.DataFrame({"given": gs, "formal": [sorted({f for y in {g, *near.get(g, ())} for f in names.formal_names(y)}) for g in gs]})
-
-    formal = parsed.select("given").distinct().mapInPandas(stand_for, "given string, formal array<string>")
-    entries = parsed.groupBy("block", "given", "family", "typed").agg(F.count("*").alias("w")).join(broadcast_if_small(formal), "given")
-    entries = cut(entries.select(F.concat_ws("|", "block", "given", "typed").alias("entry"), "block", "given", "family", "typed", "formal", "w"))
-    keyed = entries.withColumn("letter", F.explode(F.array_distinct(F.transform("formal", lambda x: x.substr(1, 1))))).withColumn("block", F.concat_ws("|", "block", "letter"))
-    place = cells(keyed.groupBy("block", F.col("family").alias("s")).agg(F.sum("w").alias("w")), 4 * EDITS)
-    members = keyed.withColumnRenamed("family", "s").join(place, ["block", "s"])
-
-    def compare(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        d = np.minimum(edits(g, "s", i, j, EDITS), edits(g, "typed", i, j, EDITS))
-        size = g["s"].str.len().to_numpy()
+            yield pd.DataFrame({"given": gs, "formal": ["|".join(sorted({f for y in {g, *near.get(g, ())} for f in names.formal_names(y)})) for g in gs]})
+
+    formal = parsed.select("given").distinct().mapInPandas(stand_for, "given string, formal string")
+    entries = parsed.select("block", "given", "family", "typed").distinct().join(broadcast_if_small(formal), "given")
+    # numbered once, in the written table: links and classes then travel as numbers
+    entries = cut(entries.select(F.monotonically_increasing_id().alias("entry"), "block", "given", "family", "typed", "formal"))
+    keyed = entries.withColumn("letter", F.explode(F.array_distinct(F.transform(F.split("formal", r"\|"), lambda x: x.substr(1, 1))))).withColumn("block", F.concat_ws("|", "block", "letter"))
+    keyed = cut(keyed)
+    large = cut(keyed.groupBy("block").count().where(F.col("count") > CELL_ROWS).select("block"))
+    members = keyed.select("*", F.col("family").alias("s"), F.lit(0).cast("long").alias("cell"), F.lit(0).alias("away"))
+    if large.limit(1).count():
+        # a typed edit may change more letters of the respelled name: both are placed in the space
+        both = keyed.join(large, "block").withColumn("s", F.explode(F.array_distinct(F.array("family", "typed"))))
+        placed = cells(both.select("block", "s").distinct(), lambda size: np.full(len(size), EDITS))
+        members = members.join(large, "block", "left_anti").unionByName(both.join(placed.drop("copies"), ["block", "s"]).select(*members.columns))
+
+    def compare(g: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d = np.minimum(g.edits("family", i, j, EDITS), g.edits("typed", i, j, EDITS))
+        size = g.rows["family"].str.len().to_numpy()
         ok = (d == 0) | ((d <= EDITS) & (np.minimum(size[i], size[j]) >= LEAST_LETTERS))
         at = np.flatnonzero(ok)
-        formal, given = g["formal"].tolist(), g["given"].tolist()
-        sets = [frozenset(x) for x in formal]
+        given, sets = g["given"], g.sets("formal")
         for k in at:
             a, b = i[k], j[k]
             ok[k] = bool(sets[a] & sets[b]) or (len(given[a]) == 1 and any(x[0] == given[a] for x in sets[b])) or (len(given[b]) == 1 and any(x[0] == given[b] for x in sets[a]))
         return ok
 
-    def emit(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        e = g["entry"].to_numpy()
-        return pd.DataFrame({"a": e[i], "b": e[j]})
+    def emit(g: Rows, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": g["entry"][i], "b": g["entry"][j]})
 
-    links = cell_join(members, ["block", "cell"], ["s", "typed", "given", "formal", "entry"], compare, "a string, b string", emit).where("a <> b")
+    links = cell_join(members, ["block", "cell"], ["s", "family", "typed", "given", "formal", "entry"], "s", RESPELLED, compare, "a long, b long", emit).where("a <> b")
     classes = components(links)
-    named = parsed.withColumn("entry", F.concat_ws("|", "block", "given", "typed"))
+    named = parsed.join(entries.select("block", "given", "family", "typed", "entry"), ["block", "given", "family", "typed"])
     return named.join(classes.withColumnRenamed("node", "entry"), "entry", "left").select("person_id", "name", F.coalesce("component", "entry").alias("class"))
 
 
 def person_pairs(classes: DataFrame) -> DataFrame:
-    """(key_a, key_b): pairs of rows of one person whose names differ by more than letter case and blanks."""
-    keyed = classes.select("person_id", "class", F.lower(squeeze("name")).alias("key"))
-    several = keyed.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("class")
-    keyed = keyed.join(several, "class", "left_semi").distinct()
-    return keyed.alias("x").join(keyed.alias("y"), (F.col("x.class") == F.col("y.class")) & (F.col("x.person_id") < F.col("y.person_id")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.person_id").alias("key_a"), F.col("y.person_id").alias("key_b")).distinct()
+    """(key_a, key_b): pairs of rows of one person whose names differ by more than letter case and blanks. Rows of
+    equal id are one."""
+    h = F.xxhash64(F.lower(squeeze("name")))  # only compared within a class
+    keyed = classes.groupBy("person_id", "class").agg(F.min(h).alias("lo"), F.max(h).alias("hi"))
+    several = keyed.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("class")
+    keyed = cut(keyed.join(several, "class", "left_semi"))
+    differ = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))
+    return keyed.alias("x").join(keyed.alias("y"), (F.col("x.class") == F.col("y.class")) & (F.col("x.person_id") < F.col("y.person_id")) & differ).select(F.col("x.person_id").alias("key_a"), F.col("y.person_id").alias("key_b"))
 
 
 def variant_pairs(alumni: DataFrame, listed: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm import canonical, fusion, knn, leaks, level, names, packing, radius, together, variants
 from rosterlake.llm.graph import components
-from rosterlake.llm.metric import BKTree, Strings, _plain, distances
+from rosterlake.llm.metric import BKTree, Strings, _plain, damerau, distances
 from rosterlake.llm.scan import scan
 
 
@@ -34,23 +35,82 @@ def test_tree_returns_every_entry_in_the_radius(refs, asked, r):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7), (None, 5)]
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (70, 70), (None, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
-    assert all(got[i] == 0 for i in range(31)) and got[102] == 100
+    assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and got[70] == 70
+    rng = random.Random(2)
+    mixed = [(x := rng.randrange(400), x + rng.choice([-7, 1, 40])) for _ in range(500)]
+    top = {n: n for e in mixed for n in e}
+    for _ in range(400):
+        for a, b in mixed:
+            top[a] = top[b] = min(top[a], top[b])
+    held = components(spark.createDataFrame(mixed, "a int, b int").repartition(7)).collect()
+    assert {r["node"]: r["component"] for r in held} == top and len(held) == len(top)
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
-def test_radius_cells_lose_no_pair(spark):
+def _damerau(a, b):
+    """The plain programme of the unrestricted distance."""
+    last, far = {}, len(a) + len(b)
+    h = {(i, -1): far for i in range(-1, len(a) + 1)} | {(-1, j): far for j in range(-1, len(b) + 1)}
+    h |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        met = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), met
+            same = a[i - 1] == b[j - 1]
+            met = j if same else met
+            h[i, j] = min(h[i - 1, j - 1] + (not same), h[i - 1, j] + 1, h[i, j - 1] + 1, h[k - 1, m - 1] + i - k + j - m - 1)
+        last[a[i - 1]] = i
+    return h[len(a), len(b)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcé", max_size=8), min_size=1, max_size=8), st.text("abcé", max_size=8))
+def test_damerau_equals_the_plain_programme_and_is_a_metric(words, pivot):
+    s = Strings([*words, pivot])
+    d = damerau(s, s.codes[-1, : s.len[-1]])
+    assert d.tolist() == [_damerau(pivot, w) for w in [*words, pivot]]
+    assert all(abs(d[i] - d[j]) <= _damerau(words[i], words[j]) for i in range(len(words)) for j in range(len(words)))
+
+
+def _joined(spark, words, radius_of, edits, **kw):
+    df = spark.createDataFrame([(b, w) for b, w in words], "block string, s string")
+    place = radius.cells(df, radius_of, **kw)
+
+    def compare(g, i, j):
+        r = radius_of(np.minimum(g.rows["s"].str.len().to_numpy()[i], g.rows["s"].str.len().to_numpy()[j]))
+        return g.edits("s", i, j, edits) <= r
+
+    pairs = radius.cell_join(place, ["block", "cell"], ["s"], "s", edits, compare, "block string, a string, b string", lambda g, i, j: pd.DataFrame({"block": g["block"][i], "a": g["s"][i], "b": g["s"][j]}))
+    return place, [(r["block"], *sorted((r["a"], r["b"]))) for r in pairs.collect()]
+
+
+@pytest.mark.parametrize("levels,most", [(3, 1e9), (3, 1.5), (0, 8.0)])
+def test_radius_cells_lose_no_pair(spark, levels, most):
     rng = random.Random(3)
-    words = list({"".join(rng.choice("abcd") for _ in range(6)) for _ in range(300)})
-    df = spark.createDataFrame([("k", w, 1) for w in words], "block string, s string, w long")
-    place = radius.cells(df, 1, cell_rows=20, max_pivots=40)
-    pairs = radius.cell_join(place, ["block", "cell"], ["s"], lambda g, i, j: radius.edits(g, "s", i, j, 1) <= 1, "a string, b string", lambda g, i, j: __import__("pandas").DataFrame({"a": g["s"].to_numpy()[i], "b": g["s"].to_numpy()[j]}))
-    got = {tuple(sorted(r)) for r in pairs.collect()}
-    s = Strings(words)
-    # pairs within one edit of the metric; a swap alone is two edits of the metric and may lie outside
-    want = {tuple(sorted((words[a], words[b]))) for a, b in itertools.combinations(range(len(words)), 2) if _plain(words[a], words[b], False) <= 1}
-    assert want <= got and len(s.values) == len(words)
+    words = {(b, "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9)))) for b in ("k", "m") for _ in range(260)} | {("few", "abc"), ("few", "abd"), ("few", "")}
+    radius_of = lambda n: np.where(n >= 6, 2, 1)
+    place, got = _joined(spark, words, radius_of, 2, cell_rows=40, levels=levels, most=most)
+    osa = lambda a, b: _plain(a, b, True)
+    want = {(b, *sorted((x, y))) for (b, x), (c, y) in itertools.combinations(words, 2) if b == c and osa(x, y) <= (2 if min(len(x), len(y)) >= 6 else 1)}
+    assert set(got) == want
+    if most == 1e9:  # each pair meets once, and cells are small
+        depth = place.groupBy("block", "cell").count().agg(F.max("count")).first()[0]
+        keyed = place.where("copies = 1 and block <> 'few'").count()
+        assert depth < 260 and (keyed > 0 or len(got) == len(set(got)))
+
+
+def test_a_hot_block_is_split(spark):
+    """A third of all strings in one block: no task gets them all, and replication stays within its bound."""
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("bdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(6)) for _ in range(40)]
+    ends = ["foods", "motors", "partners", "shipping", "textiles", "insurance"]
+    words = {("hot", rng.choice(stems)[: rng.randrange(6, 12)] + "".join(rng.choice("aeioubdkl") for _ in range(3)) + rng.choice(ends)) for _ in range(1500)}
+    place, got = _joined(spark, words, lambda n: np.where(n >= 10, 2, 1), 2, cell_rows=300)
+    assert len(set(got)) > 100
+    sizes = [r["count"] for r in place.groupBy("cell").count().collect()]
+    assert max(sizes) < 0.6 * len(words) and sum(sizes) / len(words) <= radius.REPLICATION
 
 
 ALUMNI = "person_id string, name string, current_title string, current_company string, normalized_company string, normalized_title string, location string, graduation_year int, major string, record_hash string, created_at timestamp, updated_at timestamp, key string, org string"
