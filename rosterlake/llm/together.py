@@ -23,7 +23,7 @@ SUPPORT, LIFT = 5, 3
 #: Pairs or stripe entries a task holds before it folds them.
 AT_ONCE = 4_000_000
 #: Pieces of a stripe, and items of a basket above which it is cut into blocks of that many.
-SALTS, BASKET_ROWS = 64, 2048
+SALTS, BASKET_ROWS = 16, 2048
 
 
 def baskets_of(alumni: DataFrame, skills: DataFrame) -> DataFrame:
@@ -55,15 +55,6 @@ def units_of(coded: DataFrame, basket_rows: int = BASKET_ROWS) -> DataFrame:
     return listed(coded.join(hot, "basket", "left_anti")).unionByName(alone).unionByName(across)
 
 
-def merge_stripes(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours, counts) of several stripes of one item: equal neighbours become one, counts are added."""
-    x, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    o = np.argsort(x, kind="stable")
-    x, n = x[o], n[o]
-    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    return x[at], np.add.reduceat(n, at) if len(at) else n
-
-
 _STRIPES = pa.schema([("item", pa.int64()), ("salt", pa.int64()), ("others", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
@@ -129,45 +120,39 @@ def stripes(units: DataFrame, salts: int = SALTS) -> DataFrame:
 def merged(striped: DataFrame, support: int) -> DataFrame:
     """(item, salt, others, counts): one stripe for each item and salt, of the neighbours with at least `support`."""
 
+    def fold(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Entries (item, salt, neighbour, count) in order, equal ones added up."""
+        item, salt, x, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+        o = np.lexsort((x, salt, item))
+        item, salt, x, n = item[o], salt[o], x[o], n[o]
+        at = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (x[1:] != x[:-1])])
+        return item[at], salt[at], x[at], np.add.reduceat(n, at)
+
+    def stripes_from(item: np.ndarray, salt: np.ndarray, x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = n >= support
+        if keep.any():
+            item, salt, x, n = item[keep], salt[keep], x[keep], n[keep]
+            first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (salt[1:] != salt[:-1])])
+            off = pa.array(np.r_[first, len(x)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(item[first]), pa.array(salt[first]), pa.ListArray.from_arrays(off, pa.array(x)), pa.ListArray.from_arrays(off, pa.array(n))], schema=_STRIPES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            if held:
-                x, n = merge_stripes(held)
-                keep = n >= support
-                if keep.any():
-                    out.append((*key, x[keep], n[keep]))
-
-        def emit() -> pa.RecordBatch:
-            off = pa.array(np.r_[0, np.cumsum([len(r[2]) for r in out])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([r[k] for r in out]))) for k in (2, 3)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), *lists], schema=_STRIPES)
-
         for b in batches:
-            item, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
-            off = b.column(2).offsets.to_numpy().astype(np.int64)
-            off -= off[0]
+            off = b.column(2).offsets.to_numpy()
             x, n = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
-            at = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (salt[1:] != salt[:-1])]) if len(item) else []
-            for lo, hi in zip(at, [*at[1:], len(item)]):
-                if (now := (item[lo], salt[lo])) != key:
-                    close()
-                    key, held, size = now, [], 0
-                held.append((x[off[lo] : off[hi]], n[off[lo] : off[hi]]))
-                size += off[hi] - off[lo]
-                if size > AT_ONCE:  # a long stripe shrinks to its distinct neighbours before more is read
-                    held = [merge_stripes(held)]
-                    size = len(held[0][0])
-            if len(out) > 10_000:
-                yield emit()
-                out.clear()
-        close()
-        if out:
-            yield emit()
+            item, salt = (np.repeat(b.column(k).to_numpy(), np.diff(off)) for k in (0, 1))
+            if len(x):
+                held.append((item, salt, x, n))
+                size += len(x)
+            if size > AT_ONCE:  # all but the open stripe are whole; that one shrinks to its distinct neighbours
+                item, salt, x, n = fold(held)
+                whole = int(np.argmax((item == held[-1][0][-1]) & (salt == held[-1][1][-1])))
+                yield from stripes_from(item[:whole], salt[:whole], x[:whole], n[:whole])
+                held, size = [(item[whole:], salt[whole:], x[whole:], n[whole:])], len(x) - whole
+        if held:
+            yield from stripes_from(*fold(held))
 
     placed = striped.repartition(shuffle_width(striped.sparkSession), "item", "salt").sortWithinPartitions("item", "salt")
     return placed.mapInArrow(run, "item long, salt long, others array<long>, counts array<long>")

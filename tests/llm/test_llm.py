@@ -196,9 +196,17 @@ def test_stripes_meet_by_item_and_salt(spark):
     assert plan.index("salt") and together.pairs_together(df, 40, lift=0).where("n_ab = 40").count() == 66
 
 
-def test_long_stripes_are_folded(spark, monkeypatch):
-    held = together.merge_stripes([(np.array([3, 1, 3]), np.array([1, 2, 5])), (np.array([1]), np.array([7]))])
-    assert [x.tolist() for x in held] == [[1, 3], [9, 6]]
+def test_long_stripes_are_folded(spark):
+    rows = [(1, s, [2 * k + s for k in range(300)], [1] * 300) for s in (0, 1) for _ in range(20)]
+    df = spark.createDataFrame(rows, "item long, salt long, others array<long>, counts array<long>").repartition(5)
+    for at_once in (700, 10**6):
+        old, together.AT_ONCE = together.AT_ONCE, at_once
+        try:
+            got = together.merged(df, 20).collect()
+        finally:
+            together.AT_ONCE = old
+        assert sorted((r["salt"], len(r["others"]), set(r["counts"]) == {20}) for r in got) == [(0, 300, True), (1, 300, True)]
+        assert together.merged(df, 21).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
