@@ -1,15 +1,16 @@
 """Most similar vectors for every vector: additive quantisation, lookup-table scoring, exact reranking.
 
-Full-dimensional codebooks are fitted on a bounded sample: a coarse one, whose entries also name the lists in which
-vectors are searched, and residual ones. Every vector is encoded by beam search over the residual codebooks and
-stored with the norm of its reconstruction. A query visits its own list and those whose coarse entry is almost as
-close; inside a list lookup tables (one product of the query with each codebook) score all codes, and the best are
-reranked by exact products. Lists longer than a block are split, exact copies are folded before they are shuffled.
+Full-dimensional codebooks are fitted on a bounded sample: a coarse one and, above FLAT lists, a fine one of its
+residuals, whose sums name the lists in which vectors are searched, so that lists grow in number with the vectors and
+not in length; then residual ones. Every vector is encoded by beam search over the residual codebooks and stored with
+the norm of its reconstruction. A query visits its own list and those whose entry is almost as close; inside a list
+lookup tables (one product of the query with each codebook) score all codes, and the best are reranked by exact
+products. Lists longer than a block are split, exact copies are folded before they are shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,20 +25,57 @@ from rosterlake.session import shuffle_width
 SAMPLE = 16_000
 #: An aspect with fewer vectors than this in the sample is drawn anew from all vectors.
 LEAST_DRAWN = 256
-#: Vectors per list aimed at, most lists, residual codebooks and their entries, width of the beam.
-LIST_ROWS, MAX_LISTS, STAGES, ENTRIES, BEAM = 160, 1024, 4, 64, 4
+#: Vectors per list aimed at, lists named by the coarse codebook alone, most entries of the fine one (lists are at most
+#: the product: 4,194,304, of LIST_ROWS up to 671 million vectors an aspect), residual codebooks and their entries, width
+#: of the beam.
+LIST_ROWS, FLAT, FINE, STAGES, ENTRIES, BEAM = 160, 1024, 4096, 4, 64, 4
 #: A query visits every list whose entry is within MARGIN of the closest by cosine, at most PROBES.
 MARGIN, PROBES = 0.045, 8
+#: The same where lists are named by two codebooks, whose sums fit the vectors less well.
+FINE_MARGIN, FINE_PROBES = 0.08, 24
 #: Candidates of a list that are reranked, base vectors of one block, queries scored at once.
 RERANK, BLOCK, CHUNK = 64, 4096, 256
+#: Share (one in so many ids) by which the lengths of lists are estimated, which only say where a list is split; most
+#: lists that may be split.
+COUNTED, MOST_SPLIT = 16, 100_000
 
 
 @dataclass
 class Codebooks:
     dim: int
-    coarse: np.ndarray  # lists x dim
+    coarse: np.ndarray  # entries x dim
+    fine: np.ndarray  # entries x dim, of the residuals of `coarse`; a single zero where lists are few
     stages: list[np.ndarray]  # each entries x dim
-    split: np.ndarray  # blocks of each list
+    split: dict[int, int]  # blocks of each list that has more than one
+    rerank: int = RERANK
+
+    def blocks(self, lists: np.ndarray) -> np.ndarray:
+        return np.fromiter((self.split.get(x, 1) for x in lists.tolist()), np.int64, len(lists)) if self.split else np.ones(len(lists), np.int64)
+
+    @property
+    def reach(self) -> tuple[float, int]:
+        return (MARGIN, PROBES) if len(self.fine) == 1 else (FINE_MARGIN, FINE_PROBES)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def lists(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(list, closeness) of the `most` closest lists of each unit vector, the home first. Closeness is the product
+        with the list's centre less half its squared norm: for unit centres, the cosine less a half."""
+        sims = x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)
+        at = np.arange(len(x))[:, None]
+        top = min(most, len(self.coarse))
+        first = np.argpartition(-sims, top - 1, axis=1)[:, :top] if top < len(self.coarse) else np.broadcast_to(np.arange(top), sims.shape)
+        if len(self.fine) == 1:
+            lists, near = first, sims[at, first]
+        else:
+            cross = self.coarse @ self.fine.T + 0.5 * (self.fine**2).sum(1)
+            near = (sims[at, first][:, :, None] + (x @ self.fine.T)[:, None, :] - cross[first]).reshape(len(x), -1)
+            lists = (first[:, :, None] * len(self.fine) + np.arange(len(self.fine))).reshape(len(x), -1)
+            keep = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+            lists, near = lists[at, keep], near[at, keep]
+        o = np.argsort(-near, axis=1, kind="stable")
+        return lists[at, o], near[at, o]
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.ndarray:
@@ -55,25 +93,33 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.nda
     return c
 
 
-def fit(sample: np.ndarray, total: int, seed: int = 7) -> Codebooks:
-    """Codebooks from unit vectors `sample`, for about `total` vectors."""
-    lists = int(np.clip(2 ** round(np.log2(max(1, total / LIST_ROWS))), 1, min(MAX_LISTS, max(1, len(sample) // 4))))
+def fit(sample: np.ndarray, total: int, seed: int = 7, flat: int = FLAT) -> Codebooks:
+    """Codebooks from unit vectors `sample`, for about `total` vectors; the number of lists follows `total`."""
+    wanted = 2 ** round(np.log2(max(1, total / LIST_ROWS)))
+    lists = int(np.clip(wanted, 1, min(flat, max(1, len(sample) // 4))))
     coarse = _kmeans(sample, lists, 6, seed, True)
-    home = (sample @ coarse.T).argmax(1)
-    rest = sample - coarse[home]
-    stages = []
+    rest = sample - coarse[(sample @ coarse.T).argmax(1)]
+    fine = np.zeros((1, sample.shape[1]), sample.dtype)
+    if wanted > lists >= flat:
+        fine = _kmeans(rest, int(min(wanted // lists, FINE, max(1, len(sample) // 4))), 6, seed + 100, False)
+    books = Codebooks(sample.shape[1], coarse, fine, [], {})
+    rest = sample - books.centre(books.lists(sample, 1)[0][:, 0])
     for s in range(STAGES):
         c = _kmeans(rest, ENTRIES, 4, seed + s + 1, False)
-        stages.append(c)
+        books.stages.append(c)
         rest = rest - c[(rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
-    share = np.bincount(home, minlength=len(coarse)) / len(sample)
-    return Codebooks(sample.shape[1], coarse, stages, np.maximum(1, np.ceil(share * total / BLOCK)).astype(np.int64))
+    return books
+
+
+def exact_books(dim: int, total: int) -> Codebooks:
+    """One list of all vectors, every one of which is reranked: the exact search."""
+    return Codebooks(dim, np.zeros((1, dim), np.float32), np.zeros((1, dim), np.float32), [np.zeros((1, dim), np.float32)] * STAGES, {0: max(1, -(-total // BLOCK))}, 1 << 30)
 
 
 def encode(x: np.ndarray, home: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
     """(codes n x stages, squared norm of the reconstruction): beam search over the residual codebooks."""
     n = len(x)
-    made = books.coarse[home][:, None, :]
+    made = books.centre(home)[:, None, :]
     codes = np.zeros((n, 1, 0), np.uint8)
     for c in books.stages:
         rest = x[:, None, :] - made
@@ -132,28 +178,29 @@ def _place(vectors: DataFrame, books: dict[str, Codebooks], k: int) -> DataFrame
                     s = inv[o]
                     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                     rank[o] = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
-                sims = x @ book.coarse.T
-                home = sims.argmax(1)
+                margin, probes = book.reach
+                top, score = book.lists(x, probes)
+                home = top[:, 0]
                 base = np.flatnonzero(rank <= k)
-                sub = (base + (np.frombuffer(b"".join(hashlib.blake2b(str(i).encode(), digest_size=8).digest() for i in ids[base]), np.uint64) % np.uint64(1 << 31)).astype(np.int64)) % book.split[home[base]]
+                sub = book.blocks(home[base])
+                for p in np.flatnonzero(sub > 1):
+                    sub[p] = zlib.crc32(ids[base[p]].encode()) % sub[p]
+                sub[book.blocks(home[base]) == 1] = 0
                 for lo in range(0, len(base), 1024):
                     sl = base[lo : lo + 1024]
                     codes, norm = encode(x[sl], home[sl], book)
-                    yield rows((number << 40) + (home[sl] << 20) + sub[lo : lo + 1024], ids[sl], x[sl], 0, codes, norm)
+                    yield rows((number << 44) + (home[sl] << 20) + sub[lo : lo + 1024], ids[sl], x[sl], 0, codes, norm)
                 lead = np.flatnonzero(leader == np.arange(len(ids)))
-                probes = min(PROBES, len(book.coarse))
-                top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-                score = np.take_along_axis(sims, top, 1)
-                near = score >= sims[np.arange(len(ids)), home][:, None] - MARGIN
+                near = score >= score[:, :1] - margin
                 for kind, who in ((1, lead), (2, np.flatnonzero(leader != np.arange(len(ids))))):
                     if not len(who):
                         continue
                     q, j = np.nonzero(near[leader[who]])
                     cell = top[leader[who]][q, j]
-                    reps = book.split[cell]
+                    reps = book.blocks(cell)
                     q, cell = np.repeat(q, reps), np.repeat(cell, reps)
                     part_no = np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
-                    bucket = (number << 40) + (cell << 20) + part_no
+                    bucket = (number << 44) + (cell << 20) + part_no
                     for lo in range(0, len(q), 2048):
                         w = who[q[lo : lo + 2048]]
                         yield rows(bucket[lo : lo + 2048], ids[w], x[w] if kind == 1 else None, kind, lead=ids[leader[w]])
@@ -179,7 +226,7 @@ def _search_group(t: pa.Table, book: Codebooks, k: int) -> Iterator[tuple[np.nda
         for c in copy:
             followers.setdefault(lead[c], []).append(ids[c])
     here = set(names.tolist()) if followers else set()
-    keep = min(RERANK, len(base))
+    keep = min(book.rerank, len(base))
     for lo in range(0, len(ask), CHUNK):
         at = ask[lo : lo + CHUNK]
         q = _floats(vec.take(pa.array(at)), book.dim)
@@ -209,13 +256,35 @@ def _search_group(t: pa.Table, book: Codebooks, k: int) -> Iterator[tuple[np.nda
                     yield np.array([f], dtype=object), np.array([i], dtype=object), np.ones(1)
 
 
-def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5, aspects: tuple[str, ...] | None = None) -> DataFrame:
+def _split(vectors: DataFrame, books: dict[str, Codebooks], total: int) -> None:
+    """Say into how many blocks each long list is split, from the lists of one in COUNTED ids."""
+    names = sorted(books)
+    block = max(BLOCK, -(-total * len(names) // MOST_SPLIT))  # so that no more than MOST_SPLIT lists are longer
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            aspects = np.array(b.column(0).to_pylist(), dtype=object)
+            for number, aspect in enumerate(names):
+                at = np.flatnonzero(aspects == aspect)
+                if len(at):
+                    x = _floats(b.column(1).take(pa.array(at)), books[aspect].dim).astype(np.float32)
+                    home = books[aspect].lists(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), 1)[0][:, 0]
+                    lists, n = np.unique(home, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), number)), pa.array(lists.astype(np.int64)), pa.array(n.astype(np.int64))], names=["number", "list", "n"])
+
+    part = vectors.where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(COUNTED)) == 0) & F.col("aspect").isin(names)).select("aspect", "vec")
+    for r in part.mapInArrow(homes, "number long, list long, n long").groupBy("number", "list").agg(F.sum("n").alias("n")).where(F.col("n") * COUNTED > block).collect():
+        books[names[r[0]]].split[r[1]] = -(-r[2] * COUNTED // block)
+
+
+def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5, aspects: tuple[str, ...] | None = None, exact: bool = False, flat: int = FLAT) -> DataFrame:
     """(aspect, id, other, sim): for each of `vectors` (aspect, id, vec array<float>) its k most similar others.
 
     Vectors are usable (one length within an aspect, finite, not all zero) and ids distinct within an aspect; others
     of equal similarity go by id. `sample` has rows of the same form for the codebooks, `total` is about the number of
     ids; aspects rare in the sample, or not in it, are drawn from `vectors`. `aspects` names those that may occur and
-    saves a pass to find them. A vector alone in its aspect has no neighbour; an empty table gives no rows.
+    saves a pass to find them. A vector alone in its aspect has no neighbour; an empty table gives no rows. `exact`
+    compares every vector with all of its aspect, block by block: the reference by which recall is measured.
     """
     drawn: dict[str, list[np.ndarray]] = {}
 
@@ -236,8 +305,11 @@ def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5, as
     for a, xs in drawn.items():
         x = np.concatenate(xs)
         # all vectors of a rare aspect were drawn, so that its lists follow its own number
-        books[a] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), len(x) if a in rare and len(x) < SAMPLE else total)
+        n = len(x) if a in rare and len(x) < SAMPLE else total
+        books[a] = exact_books(x.shape[1], n) if exact else fit(x / np.linalg.norm(x, axis=1, keepdims=True), n, flat=flat)
     names = sorted(books)
+    if books and not exact:
+        _split(vectors, books, total)
     placed = _place(vectors.where(F.col("aspect").isin(names)) if names else vectors.limit(0), books, k)
     placed = placed.repartition(shuffle_width(vectors.sparkSession), "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("aspect", pa.string()), ("id", pa.string()), ("other", pa.string()), ("sim", pa.float64())])
@@ -249,7 +321,7 @@ def neighbours(vectors: DataFrame, sample: DataFrame, total: int, k: int = 5, as
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                aspect = names[current >> 40]
+                aspect = names[current >> 44]
                 for a, b, s in _search_group(pa.concat_tables(held), books[aspect], k):
                     if len(a):
                         out.append(pa.RecordBatch.from_arrays([pa.array([aspect] * len(a)), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s.astype(np.float64))], schema=schema))
@@ -292,8 +364,8 @@ def usable_aspects(multi: DataFrame, aspects: tuple[str, ...] = ("current_role",
     return rows.select("person_id", "at", *(vec(a) for a in aspects)).where(" or ".join(f"{a} is not null" for a in aspects))
 
 
-def people_neighbours(profiles: DataFrame, multi: DataFrame, k: int = 5) -> DataFrame:
-    """(aspect, id, other, sim) over the latest usable row of each person in both tables."""
+def people_neighbours(profiles: DataFrame, multi: DataFrame, k: int = 5, **how) -> DataFrame:
+    """(aspect, id, other, sim) over the latest usable row of each person in both tables; `how` as in `neighbours`."""
     n = max(profiles.count(), multi.count())
     part = F.pmod(F.xxhash64("person_id"), F.lit(max(1, -(-n // SAMPLE)))) == 0
     aspects = ("current_role", "experience", "skills", "education")
@@ -307,7 +379,7 @@ def people_neighbours(profiles: DataFrame, multi: DataFrame, k: int = 5) -> Data
 
     sample = usable_profiles(profiles.where(part)).select("aspect", F.col("person_id").alias("id"), "vec").unionByName(long(usable_aspects(multi.where(part))))
     vectors = latest(usable_profiles(profiles), ["aspect", "vec"]).select("aspect", F.col("person_id").alias("id"), "vec").unionByName(long(latest(usable_aspects(multi), list(aspects))))
-    return neighbours(vectors, sample, n, k, ("profile", *aspects))
+    return neighbours(vectors, sample, n, k, ("profile", *aspects), **how)
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

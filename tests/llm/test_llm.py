@@ -317,6 +317,23 @@ def test_neighbours(spark):
     assert knn.neighbours(df.limit(0), df.limit(0), 0).count() == 0
 
 
+def test_neighbours_in_more_lists_than_probes(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(60, 16)), 50, 0) + 0.3 * rng.normal(size=(3000, 16))
+    x[100:200] = x[100]  # a hot point
+    df = spark.createDataFrame([("a", f"{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)], "aspect string, id string, vec array<float>").cache()
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.sort(s, axis=1)[:, -5:].sum(1)
+    for kw, least in (({"flat": 2}, 0.9), ({}, 0.9), ({"exact": True}, 0.99999)):
+        got = knn.neighbours(df, df, 6_000, 5, **kw).groupBy("id").agg(F.sum("sim").alias("s"), F.count("*").alias("n")).collect()
+        assert len(got) == 3000 and np.mean([r["n"] == 5 for r in got]) > 0.999
+        assert np.mean([min(1, r["s"] / want[int(r["id"])]) >= 0.99 for r in got]) >= least
+    books = knn.fit(u, 10**8, flat=64)
+    assert len(books.coarse) == 64 and len(books.fine) * 64 > 8 * knn.PROBES and books.lists(u[:9], 8)[0].shape == (9, 8)
+
+
 def test_neighbours_of_an_aspect_that_was_not_drawn(spark):
     rng = np.random.default_rng(4)
     rows = [(a, f"{i:03d}", [float(v) for v in rng.normal(size=8)]) for a, n in (("common", 300), ("rare", 12)) for i in range(n)]
