@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from rosterlake.functions.quality import is_usable, squeeze
 from rosterlake.llm import names
 from rosterlake.llm.metric import BKTree, Strings, distances
+from rosterlake.session import broadcast_if_small, cut
 
 #: Most reference keys in one tree; a longer list has several.
 SHARD_ROWS = 20_000
+#: Most entries of a canonical list; each task holds all of them (about 100 bytes an entry).
+MAX_LIST = 1_000_000
 #: Metric radius of the tree search; it holds every pair within MAX_EDITS edits where a swap counts as one.
 RADIUS, MAX_EDITS = 4, 2
 
@@ -130,7 +133,6 @@ class PlaceMatcher:
     def __init__(self, rows: list[tuple], tree_rows: int = SHARD_ROWS):
         self.rows = {r[0]: tuple(names.fold(x or "") for x in r[2:6]) for r in rows}
         self.index = KeyIndex([(v[0].replace(" ", ""), i) for i, v in sorted(self.rows.items())], tree_rows)
-        self.around = Strings(sorted({x for v in self.rows.values() for x in v[1:] if x}))
 
     def _context(self, part: str, row: tuple) -> bool:
         p = part.strip(" .")
@@ -168,9 +170,12 @@ def map_to_list(values: DataFrame, refs: DataFrame, kind: str, shard_rows: int =
 
     `refs` has the columns of the matcher of `kind`, in order, id first. Score: edits, plus 10 where a remark was cut
     off and 0.5 where the name was shortened. Ties go to the smaller id. An empty list leaves every value unmatched.
+    Every task holds the list, as trees of `shard_rows` keys: a list above MAX_LIST entries is refused.
     """
     distinct = values.select("value").where(F.col("value").isNotNull()).distinct()
-    rows = [tuple(r) for r in refs.orderBy(refs.columns[0]).collect()]
+    rows = [tuple(r) for r in refs.orderBy(refs.columns[0]).limit(MAX_LIST + 1).collect()]
+    if len(rows) > MAX_LIST:
+        raise ValueError(f"a canonical list of more than {MAX_LIST} entries: map to its parts and keep the best score of each value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = MATCHERS[kind](rows, shard_rows) if rows else None
@@ -193,19 +198,21 @@ def alumni_to_lists(alumni: DataFrame, companies: DataFrame, titles: DataFrame,
         "current_title": ("title", titles.select("title_id", "title"), "title"),
         "location": ("place", locations.select("location_id", "location", "city", "region", "region_code", "country"), "location"),
     }
-    long = alumni.select("person_id", F.explode(F.create_map(*[x for f in spec for x in (F.lit(f), F.col(f))])).alias("field", "value")).where(F.col("value").isNotNull() & is_usable(F.col("value")))
     kinds = {f: k for f, (k, _, _) in spec.items()}
-    kind_of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    long = long.select("person_id", "field", kind_of[F.col("field")].alias("kind"), squeeze("value").alias("value")).withColumn("low", F.lower("value"))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(kinds[f]).alias("kind"), F.col(f).alias("typed")) for f in spec))
+    long = alumni.select("person_id", F.explode(each).alias("x")).select("person_id", "x.*").where("typed is not null")
+    # values repeat: rules, lookup and matching see each distinct one once
+    values = long.select("kind", "typed").distinct().where(is_usable(F.col("typed"))).withColumn("value", squeeze("typed")).withColumn("low", F.lower("value"))
     listed = None
     for k in dict.fromkeys(kinds.values()):
         _, refs, col = next(v for v in spec.values() if v[0] == k)
         one = refs.select(F.lit(k).alias("kind"), F.lower(squeeze(F.col(col))).alias("low"))
         listed = one if listed is None else listed.unionByName(one)
-    open_values = long.join(listed.distinct(), ["kind", "low"], "left_anti")
+    values = cut(values.join(listed.distinct(), ["kind", "low"], "left_anti").select("kind", "typed", "value"))
     mapped = None
     for k in dict.fromkeys(kinds.values()):
         _, refs, _ = next(v for v in spec.values() if v[0] == k)
-        one = map_to_list(open_values.where(F.col("kind") == k).select("value"), refs, k).select(F.lit(k).alias("kind"), "value", "ref_id")
+        one = map_to_list(values.where(F.col("kind") == k).select("value"), refs, k).select(F.lit(k).alias("kind"), "value", "ref_id")
         mapped = one if mapped is None else mapped.unionByName(one)
-    return open_values.join(mapped, ["kind", "value"]).select("field", "person_id", "ref_id")
+    answers = broadcast_if_small(cut(values.join(mapped, ["kind", "value"]).select("kind", "typed", "ref_id")))
+    return long.join(answers, ["kind", "typed"]).select("field", "person_id", "ref_id")
