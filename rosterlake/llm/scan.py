@@ -13,6 +13,12 @@ import pyarrow.compute as pc
 AT_ONCE = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case of letters of two bytes (Latin with marks, Greek, Cyrillic, Armenian), where it has two bytes too.
+_PAIR = np.arange(0x800, dtype=np.int64)
+for _c in range(0x80, 0x800):
+    _l = chr(_c).lower()
+    if len(_l) == 1 and 0x80 <= ord(_l) < 0x800:
+        _PAIR[_c] = ord(_l)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = True
 _LETTER[0x80:] = True
@@ -66,7 +72,15 @@ class Scan:
         at = np.repeat(self.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         pos = np.minimum(at - np.repeat(self.start, size), 255)
         with np.errstate(over="ignore"):
-            return np.add.reduceat(_T[_LOWER[self.buf[at]]] * _P[pos], np.cumsum(size) - size)
+            return np.add.reduceat(_T[self.lower()[at]] * _P[pos], np.cumsum(size) - size)
+
+    def lower(self) -> np.ndarray:
+        """The texts in lower case."""
+        low = _LOWER[self.buf]
+        lead = np.flatnonzero((self.buf[:-1] >= 0xC3) & (self.buf[:-1] < 0xE0) & ((self.buf[1:] & 0xC0) == 0x80)) if len(low) > 1 else np.zeros(0, np.int64)
+        code = _PAIR[(self.buf[lead].astype(np.int64) & 31) << 6 | self.buf[lead + 1] & 63]
+        low[lead], low[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 63
+        return low
 
     def letters(self) -> np.ndarray:
         """Characters of each word."""

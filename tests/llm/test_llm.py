@@ -253,10 +253,22 @@ def test_leaks(spark):
     docs.append((8, docs[-1][1]))
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
     assert got == [(1, 0), (2, 1), (6, 3), (8, 4), (8, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda **kw: sorted(map(tuple, leaks.find_leaks(df, items, **kw).collect()))
+    assert key() == key(meet=2) == key(meet=1) == key(at_once=2)
     assert leaks.find_leaks(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_leaks_in_capitals_with_marks(spark):
+    words = "Über die Straße nach Köln ging früh am Morgen ein müder Bäcker mit élan señor Łukasz und Ωmega".split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    other = "der alte Hund schläft im Garten hinter dem Haus weil es regnet"
+    docs = [(1, f"{other} {' '.join(w.upper().replace('SS', 'ß') for w in words)} {other}"), (2, other)]
+    assert [(r[0], r[1]) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()] == [(1, 1)]
+    assert leaks.words_of("ÜBER Éa ŁÓDŹ Ж").tolist() == leaks.words_of("über éA łódź ж").tolist()
+
+
 def _prose(rng, lv):
     easy, hard = ["we", "saw", "the", "old", "dog", "in", "town"], ["institutional", "considerable", "administration", "characterised", "notwithstanding"]
     sentences = [" ".join(rng.choice(easy if rng.random() > (lv - 1) / 4 else hard) for _ in range(3 + 8 * (lv - 1))) + "." for _ in range(14)]
