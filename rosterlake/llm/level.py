@@ -2,8 +2,8 @@
 
 Sentences of alike measure - language, words, letters a word, long words, commas - share a profile node; a document is tied
 to the profiles of its sentences by the words they hold. Profiles of graded sentences are clamped to their level; all
-others take, round by round, the mean of the documents they occur in, and documents the mean of their profiles. The
-level of a document is the one at which most of its words are written.
+others take, round by round until nothing moves, the mean of the documents they occur in, and documents the mean of
+their profiles. The level of a document is the one at which most of its words are written.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ LEAST_OPEN = 12
 WORD_STEP, WORD_STEPS, LETTER_STEP, LETTER_STEPS, LONG_STEP, LONG_STEPS, COMMAS = 4, 16, 10, 20, 2, 16, 3
 #: Letters of a long word.
 LONG = 10
-#: Rounds of propagation, and the change below which they end.
-ROUNDS, SETTLED = 12, 0.002
+#: The change of a profile's level below which propagation has settled, and rounds after which it has failed to.
+SETTLED, ROUNDS = 0.002, 500
 #: Words that name a language must be in this many of its samples and in none of another.
 IN_SAMPLES = 2
 #: Most graded samples read to the driver.
@@ -101,11 +101,14 @@ def _sentences(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     return np.where(good[w], w, -1), row[begin]
 
 
-def _profiles(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(s: Scan) -> np.ndarray:
+    """Sentence number of each word, -1 where it is no running text."""
+    return _sentences(s)[0] if len(s.start) else np.zeros(0, np.int64)
+
+
+def _profiles(s: Scan, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, profile without language, words) of each sentence of running text."""
-    if not len(s.start):
-        return (np.zeros(0, np.int64),) * 3
-    sent, _ = _sentences(s)
+    sent = _numbered(s) if sent is None else sent
     ok = sent >= 0
     sent, letters, rows = sent[ok], s.letters()[ok], s.word_row[ok]
     if not len(sent):
@@ -126,9 +129,9 @@ def _profiles(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PROFILES = WORD_STEPS * LETTER_STEPS * LONG_STEPS * COMMAS
 
 
-def _blank_words(s: Scan) -> np.ndarray:
+def _blank_words(s: Scan, sent: np.ndarray | None = None) -> np.ndarray:
     """Blank-separated words of running text in each text."""
-    sent, _ = _sentences(s) if len(s.start) else (np.zeros(0, np.int64), None)
+    sent = _numbered(s) if sent is None else sent
     ok = sent >= 0
     if not ok.any():
         return np.zeros(s.n, np.int64)
@@ -210,9 +213,9 @@ def reading_levels(documents: DataFrame, samples: DataFrame, rounds: int = ROUND
         for b in batches:
             for lo, col in chunks(b.column(1)):
                 s = scan(col)
-                enough = (_blank_words(s) >= LEAST_WORDS) & (tongue.of(s) >= 0)
-                lang = tongue.of(s)
-                row, profile, words = _profiles(s)
+                sent, lang = _numbered(s), tongue.of(s)
+                enough = (_blank_words(s, sent) >= LEAST_WORDS) & (lang >= 0)
+                row, profile, words = _profiles(s, sent)
                 ok = enough[row]
                 cell = lang[row[ok]] * PROFILES + profile[ok]
                 key, inv = np.unique(row[ok].astype(np.int64) * size + cell, return_inverse=True)
@@ -255,6 +258,8 @@ def reading_levels(documents: DataFrame, samples: DataFrame, rounds: int = ROUND
         value = nxt
         if moved < SETTLED:
             break
+    else:
+        raise RuntimeError("levels did not settle")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

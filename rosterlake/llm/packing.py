@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +28,25 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@lru_cache(maxsize=2)
+def _coder(path: str):
+    """The tokenizer of a vocabulary file; a worker process reads it once."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every document whose text is not null or blank. Whole texts are tokenised."""
+    """(doc_id, n_tokens) of every document whose text is not null or blank. Whole texts are tokenised.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    The vocabulary file is read where the driver runs and shipped with the job."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(SparkFiles.get(name))
         for b in batches:
             n = [len(coder.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["doc_id", "n_tokens"])
@@ -114,14 +128,18 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots, used = plan(histogram, capacity)
     before = by_salt.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "__row")) - 1).join(F.broadcast(before) if len(histogram) * salts <= 500_000 else before, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-    lists: dict[int, list[tuple]] = {}
-    for s in slots:
-        lists.setdefault(s[0], []).append(s[1:])
-    rows = [(length, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for length, v in lists.items()]
-    planned = spark.createDataFrame(rows or [(0, [0], [0], [1])], "length int, begins array<long>, containers array<long>, each array<long>")
-    k = F.size(F.filter("begins", lambda x: x <= F.col("rank"))) - 1
-    placed = ranked.join(F.broadcast(planned), "length").withColumn("k", k)
-    placed = placed.select("doc_id", F.floor(F.col("n_tokens") / capacity).cast("int").alias("part"), (F.col("n_tokens") - F.col("length")).alias("start"), F.col("length").alias("n_tokens"), (F.element_at("containers", F.col("k") + 1) + F.floor((F.col("rank") - F.element_at("begins", F.col("k") + 1)) / F.element_at("each", F.col("k") + 1))).alias("container"))
+    # a length's slots are in order of rank: one sorted key for all of them, searched by halves
+    slot = np.array(sorted((s[0], s[1], s[3], s[4]) for s in slots) or [(0, 0, 0, 1)], np.int64)
+    begin = slot[:, 0] << 44 | slot[:, 1]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
+            k = np.searchsorted(begin, length << 44 | rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(slot[k, 2] + (rank - slot[k, 1]) // slot[k, 3])], names=["doc_id", "part", "start", "n_tokens", "container"])
+
+    placed = ranked.select("doc_id", F.floor(F.col("n_tokens") / capacity).cast("int").alias("part"), (F.col("n_tokens") - F.col("length")).cast("int").alias("start"), F.col("length").cast("int").alias("n_tokens"), F.col("rank").cast("long"))
+    placed = placed.mapInArrow(take, f"doc_id {dict(sizes.dtypes)['doc_id']}, part int, start int, n_tokens int, container long")
     # whole parts of long items: a container each, numbered within salts
     long = sizes.where(F.col("n_tokens") >= capacity).withColumn("parts", F.floor(F.col("n_tokens") / capacity).cast("long")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "__row"), F.lit(salts)))
     totals = long.groupBy("salt").agg(F.sum("parts").alias("parts"))
