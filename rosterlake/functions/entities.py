@@ -98,14 +98,17 @@ def rule_entities(df: DataFrame, column: str, employer: str) -> DataFrame:
     return out.withColumn("confidence", F.round(score, 6))
 
 
-def confidence_gate(df: DataFrame, threshold: float = 0.7, backend=None) -> DataFrame:
+def confidence_gate(df: DataFrame, threshold: float = 0.7, backend=None, key: str = "person_id") -> DataFrame:
     """extraction_method and confidence after the gate: rows below the threshold go to `backend` (DataFrame ->
-    DataFrame with the same columns); without one they keep their entities as `ai_fallback` with confidence 0.1 at
-    least. Only gated rows ever reach a back end."""
+    DataFrame with the same columns, one row for each and the key `key`); what it leaves null stays as the rules have it, and
+    the higher confidence counts. Without a back end they keep their entities as `ai_fallback` with confidence 0.1 at least.
+    Only gated rows ever reach a back end."""
     if backend is None:
         method = F.when(F.col("confidence") >= threshold, "rules").otherwise("ai_fallback")
         return df.withColumn("extraction_method", method).withColumn("confidence", F.greatest("confidence", F.when(F.col("confidence") >= threshold, 0.0).otherwise(0.1)))
     sure = df.where(F.col("confidence") >= threshold).withColumn("extraction_method", F.lit("rules"))
     rest = df.where(F.col("confidence") < threshold)
-    rest = backend(rest).withColumn("extraction_method", F.lit("hybrid"))
-    return sure.unionByName(rest)
+    found = ["seniority", "role_type", "specialization", "department", "industry_focus"]
+    theirs = backend(rest).select(key, "normalized_title", *found, "confidence").withColumnsRenamed({c: f"__{c}" for c in ("normalized_title", *found, "confidence")})
+    merged = rest.join(theirs, key, "left").withColumns({"normalized_title": F.coalesce("__normalized_title", "normalized_title"), "confidence": F.greatest("confidence", "__confidence"), **{c: F.coalesce(F.nullif(F.col(f"__{c}"), F.lit("")), c) for c in found}})
+    return sure.unionByName(merged.select(*rest.columns, F.lit("hybrid").alias("extraction_method")))

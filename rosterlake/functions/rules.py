@@ -226,6 +226,8 @@ QUERY_PATTERNS = {
 QUERY_CONSTRAINTS = {"current": r"\b(?:current|currently|now)\b", "former": r"\b(?:former|previously|ex-|past)\b", "recent": r"\b(?:recent|recently|last\s+\d+\s+years?)\b", "senior_only": r"\b(?:senior|experienced|seasoned)\s+(?:only|professionals?)\b"}
 QUERY_ABBREVIATIONS = {"swe": "software engineer", "pm": "product manager", "ib": "investment banking", "pe": "private equity", "vc": "venture capital", "hf": "hedge fund", "ml": "machine learning", "ai": "artificial intelligence"}
 QUERY_STOPWORDS = "the a an and or but in on at to for of with by from about as who what when where how which that find search looking need want show get".split()
+# Words of a query that are not looked up in the term graph.
+GRAPH_STOPWORDS = ["and", "or", "the", "a", "an", "in", "at", "to", "for", "with"]
 # Weights of the additive score, and of the normalised one.
 LEGACY_WEIGHTS = {"exact_title": 10.0, "exact_company": 8.0, "normalized_title": 6.0, "normalized_company": 5.0, "expanded": 3.0, "skill": 2.0, "experience": 2.0, "seniority": 1.5, "location": 1.0, "recency": 2.0, "education": 1.0}
 SCORE_WEIGHTS = {"exact": 0.4, "semantic": 0.3, "cooccurrence": 0.3}

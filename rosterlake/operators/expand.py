@@ -6,12 +6,12 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Prefixes under which a bare word is looked up.
 PREFIXES = ["", "title:", "company:", "skill:", "role:", "industry:", "seniority:", "spec:", "location:", "dept:"]
-#: Most edges of a graph that is walked from single terms.
+#: Most edges of a graph that is walked from single terms: the strongest pairs are the graph, as a stated feature of it.
 MAX_EDGES = 10_000
 
 
@@ -21,10 +21,10 @@ def one_hop(table: DataFrame, word: str, per_form: int = 5, k: int = 5) -> DataF
     return hits.groupBy("expansion").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "expansion").limit(k)
 
 
-def multi_hop(table: DataFrame, starts: DataFrame, hops: int = 2, decay: float = 0.5, per_term: int = 5) -> DataFrame:
+def multi_hop(table: DataFrame, starts: DataFrame, hops: int = 2, decay: float = 0.5, per_term: int = 5, least: float = 0.0, k: int | None = None) -> DataFrame:
     """(start, expansion, weight, hop): terms reached in at most `hops` joins, each with its best weight w*c*decay^hop.
 
-    A term reached on several ways keeps the highest weight and, at equal weight, the fewest hops.
+    With `least` weaker ones are left out, with `k` each start keeps its k best (ties by term). A term reached on several ways keeps the highest weight and, at equal weight, the fewest hops.
     """
     edges = table.where(F.col("rank") <= per_term).select("term", "expansion", F.col("weight").alias("c"))
     frontier = starts.select(F.col("term").alias("start"), "term", F.lit(1.0).alias("w"))
@@ -35,7 +35,44 @@ def multi_hop(table: DataFrame, starts: DataFrame, hops: int = 2, decay: float =
         found = one if found is None else found.unionByName(one)
         frontier = nxt.select("start", F.col("expansion").alias("term"), F.col("w"))
     best = found.groupBy("start", "expansion").agg(F.min(F.struct(F.negative("weight").alias("w"), "hop")).alias("m"))
-    return best.select("start", "expansion", F.negative("m.w").alias("weight"), F.col("m.hop").alias("hop"))
+    best = best.select("start", "expansion", F.negative("m.w").alias("weight"), F.col("m.hop").alias("hop")).where(F.col("weight") >= least)
+    if k is None:
+        return best
+    order = Window.partitionBy("start").orderBy(F.desc(F.round("weight", 9)), "expansion")
+    return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+#: Prefixes under which a word of a query is sought in the graph, after the bare word.
+NODE_PREFIXES = ["title:", "company:", "skill:", "seniority:", "role:"]
+
+
+def nodes_of(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(word, node): the bare word if it is a node, else its first prefixed form that is one, else the word itself.
+
+    words: (word); nodes: (term). Words are trimmed and in lower case; null words give no row."""
+    low = F.lower(F.trim("word"))
+    forms = F.posexplode(F.array(low, *(F.concat(F.lit(p), low) for p in NODE_PREFIXES))).alias("k", "node")
+    asked = words.where("word is not null").select(low.alias("word")).distinct()
+    met = asked.select("word", forms).join(nodes.select(F.col("term").alias("node")).distinct(), "node").groupBy("word").agg(F.min(F.struct("k", "node")).alias("m"))
+    return asked.join(met, "word", "left").select("word", F.coalesce("m.node", "word").alias("node"))
+
+
+def by_type(expanded: DataFrame, term: str = "expansion", score: str = "weight") -> DataFrame:
+    """(type, n, terms): expansions grouped by the prefix of their term ('general' without one), the best first."""
+    typed = F.when(F.col(term).contains(":"), F.split(term, ":")[0]).otherwise("general")
+    one = expanded.select(typed.alias("type"), F.round(score, 3).alias("s"), F.substring_index(term, ":", -1).alias("t"))
+    best = one.groupBy("type", "t").agg(F.max("s").alias("s"))
+    listed = F.array_sort(F.collect_list(F.struct(F.negative("s").alias("o"), "t")))
+    return best.groupBy("type").agg(F.count("*").alias("n"), F.transform(listed, lambda x: x["t"]).alias("l")).select("type", "n", F.array_join("l", "|").alias("terms"))
+
+
+def idf_weighted(expanded: DataFrame, df: DataFrame, term: str = "expansion", score: str = "weight") -> DataFrame:
+    """`expanded` with score * (.5 + .5 * idf / largest idf), idf = ln((1 + N) / (1 + df)) + 1 of the word after the
+    prefix in `df` (term, df, total); words that are not in it keep their score."""
+    idf = df.select(F.col("term").alias("__w"), (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("__idf"))
+    top = idf.agg(F.max("__idf").alias("__top"))  # one row
+    joined = expanded.withColumn("__w", F.substring_index(term, ":", -1)).join(idf, "__w", "left").crossJoin(F.broadcast(top))
+    return joined.withColumn(score, F.when(F.col("__idf").isNull(), F.col(score)).otherwise(F.col(score) * (0.5 + 0.5 * F.col("__idf") / F.col("__top")))).drop("__w", "__idf", "__top")
 
 
 def graph_edges(metrics: DataFrame, confidence: float = 0.3, lift: float = 2.0) -> DataFrame:
@@ -59,7 +96,9 @@ def shortest_paths(edges: list[tuple[str, str, float]], start: str, hops: int, d
         if node in done:
             continue
         done.add(node)
-        if node != start and n <= hops and (score := math.exp(-d) * decay**n) >= least:
+        if n > hops:  # reached, but too far to count or to go on from
+            continue
+        if node != start and (score := math.exp(-d) * decay**n) >= least:
             out.append((node, score, n, path))
         for b, w in near.get(node, []):
             if b not in done:

@@ -11,16 +11,31 @@ from rosterlake.functions import rules
 from rosterlake.functions.text import any_of
 
 
-def overlaps(stints: DataFrame, as_of: date, least_months: float = 1.0) -> DataFrame:
+#: Days of a bucket in which intervals of one company are joined.
+BUCKET_DAYS = 365
+
+
+def overlaps(stints: DataFrame, as_of: date, least_months: float = 1.0, of: list | None = None) -> DataFrame:
     """(person1, person2, company, overlap_start, overlap_end, months, years_ago): pairs at one company at one time.
 
     An open interval ends at `as_of`. Pairs come once, the smaller id first; overlaps below `least_months` or of no
-    length are left out. Rows without company or start are no employment.
+    length are left out. Rows without company or start are no employment. `of` asks for the pairs of some people only,
+    before any pair is made. Intervals are joined by company and bucket of time, in the first bucket both reach, so that
+    a company of very many people is no single key.
     """
-    end = F.coalesce("end_date", F.lit(as_of))
-    a = stints.select(F.col("person_id").alias("person1"), "company", F.col("start_date").alias("s1"), end.alias("e1"))
-    b = stints.select(F.col("person_id").alias("person2"), "company", F.col("start_date").alias("s2"), end.alias("e2"))
-    met = a.join(b, "company").where("person1 < person2 and s1 <= e2 and e1 >= s2")
+    day = lambda c: F.datediff(c, F.lit(date(1900, 1, 1)))
+    held = stints.select("person_id", "company", "start_date", F.coalesce("end_date", F.lit(as_of)).alias("end_date")).where("company is not null and end_date > start_date")
+    first, last = F.floor(day(F.col("start_date")) / BUCKET_DAYS), F.floor(day(F.col("end_date")) / BUCKET_DAYS)
+    held = held.select("*", F.explode(F.sequence(first, last)).alias("bucket"))
+    a = held.select(F.col("person_id").alias("person1"), "company", "bucket", F.col("start_date").alias("s1"), F.col("end_date").alias("e1"))
+    b = held.select(F.col("person_id").alias("person2"), "company", "bucket", F.col("start_date").alias("s2"), F.col("end_date").alias("e2"))
+    near = (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2")) & (F.col("bucket") == F.floor(day(F.greatest("s1", "s2")) / BUCKET_DAYS))
+    if of is None:
+        met = a.join(b, ["company", "bucket"]).where(near & (F.col("person1") < F.col("person2")))
+    else:  # the asked ones on one side, all others on the other
+        one = a.where(F.col("person1").isin(of)).join(b, ["company", "bucket"]).where(near & (F.col("person1") != F.col("person2")) & (~F.col("person2").isin(of) | (F.col("person1") < F.col("person2"))))
+        swap = F.col("person1") > F.col("person2")
+        met = one.select("company", *(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("person1", "person2"), ("person2", "person1"), ("s1", "s2"), ("s2", "s1"), ("e1", "e2"), ("e2", "e1"))))
     met = met.select("person1", "person2", "company", F.greatest("s1", "s2").alias("overlap_start"), F.least("e1", "e2").alias("overlap_end"))
     met = met.withColumn("months", F.datediff("overlap_end", "overlap_start") / 30.44).withColumn("years_ago", F.greatest(F.lit(0.0), F.datediff(F.lit(as_of), "overlap_end") / 365.25))
     return met.where((F.col("overlap_end") > F.col("overlap_start")) & (F.col("months") >= least_months))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
+from rosterlake.functions.text import any_of
 
 WIDE = ["current_position", "current_company", "industry", "skills", "function"]
 
@@ -22,14 +23,17 @@ def term_filter(terms: list[tuple[str, float]]) -> Column | None:
     words = [t for t, _ in terms]
     finance = any(t in words for t in rules.FINANCE_TRIGGERS)
     high, medium = [t for t, w in terms if w >= 0.8][:10], [t for t, w in terms if 0.5 <= w < 0.8][:8]
-    any_ = lambda cs: reduce(lambda a, b: a | b, cs)
+    # one pattern a field: the plan stays small however many terms there are
+    any_ = lambda by: reduce(lambda a, b: a | b, (F.coalesce(any_of(F.lower(c), ts), F.lit(False)) for c, ts in by.items() if ts))
+    fields = ("current_position", "current_company", "industry")
     parts = []
     if high:
-        parts.append(any_([has(c, t) for t in high for c in ("current_position", "current_company", "industry", "function" if finance and t in rules.FINANCE_FIELD_TERMS else "skills")]))
+        aside = [t for t in high if finance and t in rules.FINANCE_FIELD_TERMS]
+        parts.append(any_({**dict.fromkeys(fields, high), "function": aside, "skills": [t for t in high if t not in aside]}))
     if medium:
-        parts.append(any_([has(c, t) for t in medium for c in ("current_position", "current_company", "industry")]))
+        parts.append(any_(dict.fromkeys(fields, medium)))
     if parts and finance:
-        parts.append(any_([has(c, t) for c, ts in rules.FINANCE_GUARD.items() for t in ts]))
+        parts.append(any_(rules.FINANCE_GUARD))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
@@ -71,18 +75,15 @@ def rescore(hits: DataFrame, terms: list[tuple[str, float]], domains: dict[str,
     field = lambda c: F.coalesce(F.lower(F.col(c)), F.lit(""))
     short = F.concat_ws(" ", field("current_position"), field("current_company"), field("industry"))
     text = F.concat_ws(" ", short, field("skills"))
-    strong = [t for t, w in terms if w >= 0.7]
-    found = F.filter(F.array(*(F.when(text.contains(t), F.lit(t)) for t in strong)), lambda x: x.isNotNull()) if strong else F.array().cast("array<string>")
+    inside = lambda c, words: F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda x: c.contains(x))
+    found = inside(text, [t for t, w in terms if w >= 0.7])
     boost: Column = F.lit(0.0)
     for d, w in domains.items():
-        for t in rules.DOMAINS[d]["companies"]:
-            boost = boost + F.when(short.contains(t), w * 0.3).otherwise(0.0)
-        for t in rules.DOMAINS[d]["roles"]:
-            boost = boost + F.when(short.contains(t), w * 0.2).otherwise(0.0)
+        boost = boost + F.size(inside(short, rules.DOMAINS[d]["companies"])) * (w * 0.3) + F.size(inside(short, rules.DOMAINS[d]["roles"])) * (w * 0.2)
     df = hits.withColumn("semantic", found).withColumn("domain_boost", F.least(boost, F.lit(0.5)))
     score = F.least(F.lit(1.0), (F.col("relevance_score") / 50.0 * 0.6 + F.size("semantic") / float(max(len(terms), 1)) * 0.4) * (1 + F.col("domain_boost")))
-    in_position = F.coalesce(*(F.when(field("current_position").contains(t), F.lit(f"position: '{t}'")) for t, _ in terms), F.lit(None))
-    in_company = F.coalesce(*(F.when(field("current_company").contains(t), F.lit(f"company: '{t}'")) for t, _ in terms), F.lit(None))
+    first = lambda c, name: F.concat(F.lit(f"{name}: '"), F.get(inside(field(c), [t for t, _ in terms]), F.lit(0)), F.lit("'"))
+    in_position, in_company = first("current_position", "position"), first("current_company", "company")
     top = f"domain: {max(domains, key=domains.get)}" if domains else None
     why = F.concat_ws("; ", in_position, in_company, F.when(F.size("semantic") > 0, F.concat(F.lit("semantic: "), F.array_join(F.slice("semantic", 1, 2), ", "))), F.lit(top))
     return df.withColumn("final_score", F.round(score, 6)).withColumn("explanation", F.when(why == "", "general match").otherwise(why)).orderBy(F.desc("final_score"), F.desc("relevance_score"), F.desc_nulls_first("graduation_year"), F.asc_nulls_first("name"), "person_id").limit(k)
@@ -117,7 +118,7 @@ def full_text(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
 
 
 def facets(df: DataFrame, columns: dict[str, int]) -> DataFrame:
-    """(facet, value, n): the most frequent values of each column over the matched rows, in one pass of grouping sets."""
+    """(facet, value, n): the most frequent values of each column over the matched rows, all columns in one pass."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*").where("value is not null and value <> ''")
     counted = long.groupBy("facet", "value").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
@@ -131,7 +132,7 @@ def _share(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (low.contains(t).cast("int") for t in terms)) / float(len(terms))
 
 
-def normalized_score(df: DataFrame, terms: list[str], related: dict[str, float], as_of_year: int, locations: list[str] = (), seniority: list[str] = ()) -> DataFrame:
+def normalized_score(df: DataFrame, terms: list[str], related: dict[str, float], as_of_year: int, locations: list[str] = (), seniority: list[str] = (), education: list[str] = ()) -> DataFrame:
     """exact, cooccurrence and final_score (0 to 1) from current_title, current_company, skills and experience (texts),
     a semantic similarity column `semantic` if there is one, and modifiers with diminishing returns."""
     w = rules.EXACT_WEIGHTS
@@ -148,17 +149,36 @@ def normalized_score(df: DataFrame, terms: list[str], related: dict[str, float],
         mod = mod + F.when(F.col("metro_area").isin(list(locations)), 0.1).otherwise(0.0)
     if seniority:
         mod = mod + F.when(F.col("seniority").isin(list(seniority)), 0.1).otherwise(0.0)
-    df = df.withColumn("exact", exact).withColumn("cooccurrence", F.least(cooc, F.lit(1.0)))
+    if education:
+        mod = mod + F.when(any_of(F.lower("education_school"), list(education)), 0.1).otherwise(0.0)
+    df = df.withColumn("modifier", F.coalesce(mod, F.lit(0.0))).withColumn("exact", exact).withColumn("cooccurrence", F.least(cooc, F.lit(1.0)))
     return df.withColumn("final_score", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + (1 - base) * mod * 0.5)), 4))
 
 
-def legacy_score(df: DataFrame, terms: list[str], as_of_year: int, boosts: dict[str, float] | None = None) -> DataFrame:
-    """The additive score: one hit a field, one a matching skill, recency, divided by ln(1 + length of the main fields)."""
+def score_explanation(df: DataFrame) -> Column:
+    """The score and its parts in words, from the columns of `normalized_score`: one line a part, in percent."""
+    percent = lambda c: F.format_string("%.2f%%", F.bround(F.coalesce(c, F.lit(0.0)), 4) * 100)
+    s = rules.SCORE_WEIGHTS
+    names = {"exact": "Exact match score", "semantic": "Semantic similarity", "cooccurrence": "Co-occurrence match score"}
+    parts = [F.concat(F.lit(f"  - {names[k]}: "), percent(F.col(k)), F.lit(f" (weight: {w:.0%})")) for k, w in s.items() if k in df.columns]
+    bonus = F.when(F.col("modifier") > 0, F.concat(F.lit("Score Modifiers: +"), percent(F.col("modifier"))))
+    return F.concat_ws("\n", F.concat(F.lit("Final Score: "), percent(F.col("final_score"))), F.lit("Score Components:"), *parts, bonus)
+
+
+def legacy_score(df: DataFrame, terms: list[str], as_of_year: int, boosts: dict[str, float] | None = None, seniority: list[str] = (), locations: list[str] = ()) -> DataFrame:
+    """The additive score: one hit a field, one a matching skill and past title, ranks and places asked for, recency,
+    divided by ln(1 + length of the main fields). Columns that `df` lacks add nothing."""
     w, boosts = rules.LEGACY_WEIGHTS, boosts or {}
     hit = lambda c: reduce(lambda a, b: a | b, (F.coalesce(F.lower(F.col(c)), F.lit("")).contains(t) for t in terms))
     parts = {k: F.when(hit(c), w[k]).otherwise(0.0) for k, c in (("exact_title", "current_title"), ("exact_company", "current_company"), ("normalized_title", "normalized_title"), ("normalized_company", "normalized_company"))}
     if "skill_list" in df.columns:
         parts["skill"] = F.size(F.filter("skill_list", lambda s: reduce(lambda a, b: a | b, (F.lower(s).contains(t) for t in terms)))) * w["skill"]
+    if "experience_titles" in df.columns:
+        parts["experience"] = F.coalesce(F.size(F.filter("experience_titles", lambda s: any_of(F.lower(s), terms))), F.lit(0)) * w["experience"]
+    if seniority:
+        parts["seniority"] = F.when(F.col("seniority").isin(list(seniority)), w["seniority"]).otherwise(0.0)
+    if locations:
+        parts["location"] = F.when(F.col("metro_area").isin(list(locations)), w["location"]).otherwise(0.0)
     years = F.lit(as_of_year) - F.col("graduation_year")
     parts["recency"] = F.when(years <= 10, w["recency"] * (10 - years) / 10).otherwise(0.0)
     total = reduce(lambda a, b: a + b, (v * boosts.get(k, 1.0) for k, v in parts.items()))
@@ -172,6 +192,25 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, k: int, weight: float = 0.3,
     return both.select(key, F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("similarity", F.lit(0.0)) * weight, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def page(ranked: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """Rows `offset` to `offset + limit` of the order; an offset past the end gives none."""
+    return ranked.orderBy(*order).offset(offset).limit(limit)
+
+
+def condition(terms: list[str], expansions: dict[str, float], least: float = 0.5) -> list[str]:
+    """The terms of a widened full-text condition: the asked ones and expansions above `least` without their prefix."""
+    return list(dict.fromkeys([*terms, *(t.split(":", 1)[-1] for t, c in expansions.items() if c > least)]))
+
+
+def any_full_text(df: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
+    """Rows that hold every word of one of the terms in one of the fields; no term asks for nothing and keeps all rows."""
+    if not terms:
+        return df
+    asked = [[w for w in "".join(ch if ch.isalnum() else " " for ch in t.lower()).split() if w not in rules.TITLE_STOPWORDS] for t in terms]
+    hit = [F.coalesce(F.size(F.array_except(F.array(*map(F.lit, q)), analyze(F.col(c)))) == 0, F.lit(False)) for q in asked if q for c in fields]
+    return df.where(reduce(lambda a, b: a | b, hit)) if hit else df.limit(0)
+
+
 def highlight(c: Column, terms: list[str]) -> Column:
     """Terms in <mark> tags, in whatever case they are written."""
     for t in sorted(terms, key=len, reverse=True):

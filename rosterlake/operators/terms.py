@@ -18,9 +18,9 @@ def _long(df: DataFrame, key: str, terms: list[tuple[str, Column]]) -> DataFrame
 
 def term_documents(people: DataFrame, skills: DataFrame, key: str = "person_id") -> DataFrame:
     """(key, term): company, whole title, rank, role, specialisation, department, industry, place and skills, distinct."""
-    e = entities.title_entities(people, "current_title")
-    place = entities.location_parts(F.col("location"))
-    where = F.coalesce(place["metro_area"], F.when(F.col("location").isNotNull(), entities.location_display(place, F.col("location"))))
+    e = entities.location_entities(entities.title_entities(people, "current_title"), "location")
+    place = F.struct("city", "state", "country", "metro_area")
+    where = F.when(F.col("location").isNotNull(), entities.location_display(place, F.col("location")))
     mine = _long(e, key, [("company", F.col("normalized_company")), ("title", F.col("normalized")), ("seniority", F.col("seniority")), ("role", F.col("role_type")), ("spec", F.col("specialization")), ("dept", F.col("department")), ("industry", F.col("industry_focus")), ("location", where)])
     known = skills.join(people.select(key).distinct(), key, "left_semi")
     return mine.unionByName(_long(known, key, [("skill", F.trim("skill"))])).distinct()
@@ -79,6 +79,11 @@ def with_metrics(pairs: DataFrame, total: int, weighted: bool = False) -> DataFr
     return pairs.withColumn("w12", n12).withColumn("pmi", pmi).withColumn("npmi", F.try_divide(pmi, -log_p)).withColumn("lift", ratio).withColumn("confidence", n12 / n1).withColumn("reverse_confidence", n12 / n2)
 
 
+def significant(metrics: DataFrame, lift: float = 2.0, confidence: float = 0.3, npmi: float = 0.2) -> DataFrame:
+    """Pairs whose lift, confidence and npmi are above their bounds and that are not passed over."""
+    return metrics.where((F.col("lift") > lift) & (F.col("confidence") > confidence) & (F.col("npmi") > npmi) & ~skip_pair())
+
+
 def skip_pair() -> Column:
     """Pairs passed over: same field but for titles, place with company, and generic terms."""
     p, q = F.split("term1", ":")[0], F.split("term2", ":")[0]
@@ -107,8 +112,10 @@ def synonyms(pairs: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 5, max_share: float = 0.8, features: int = 10_000) -> DataFrame:
-    """(key, term, tf, tfidf) of the most frequent words that are neither too rare nor too common; idf = ln((N+1)/(df+1))."""
-    words = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("term"))
+    """(key, term, tf, tfidf) of the most frequent words that are neither too rare nor too common; idf = ln((N+1)/(df+1)).
+
+    Words are runs of two or more letters of any alphabet, in lower case. The number of terms kept is the feature."""
+    words = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{2,})"), F.lit(1))).alias("term"))
     tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n_docs"))).orderBy(F.desc("df"), "term").limit(features)

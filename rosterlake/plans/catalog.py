@@ -124,7 +124,7 @@ def company_normalize(spark, d):
 
 def location_normalize(spark, d):
     low = F.regexp_replace(F.lower(F.trim("location")), rules.COUNTRY_SUFFIX, "")
-    return _people(spark, d).select("person_id", low.alias("low"), F.length(normalize.location(F.col("location"))).alias("n"))
+    return _people(spark, d).select("person_id", low.alias("low"), normalize.location(F.col("location")).alias("normalized"))
 
 
 def record_hash_dedup(spark, d):
@@ -140,14 +140,18 @@ def year_parse(spark, d):
     return view(spark, d, "documents").select("doc_id", normalize.year(F.regexp_replace("text", r"\s+", " ")).alias("year"))
 
 
+def _ordering(spark, d):
+    return view(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+
+
 def upsert_touch(spark, d):
     c = view(spark, d, "customer").select("c_custkey", "c_name", F.lit("old").alias("stamp"))
-    return sinks.upsert_touch(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0"), "c_custkey", "stamp", F.lit("touched"))
+    return sinks.upsert_touch(c, c.join(_ordering(spark, d), "c_custkey", "left_semi"), "c_custkey", "stamp", F.lit("touched"))
 
 
 def upsert_replace(spark, d):
     c = view(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return sinks.upsert_replace(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_mktsegment")), ["c_custkey"])
+    return sinks.upsert_replace(c, c.join(_ordering(spark, d), "c_custkey", "left_semi").withColumn("c_name", F.upper("c_mktsegment")), ["c_custkey"])
 
 
 # ---- entities
@@ -188,6 +192,15 @@ def title_variations(spark, d):
     return _people(spark, d).where("current_title is not null").select("person_id", F.array_join(F.array_sort(entities.title_variations(t)), "|").alias("variations"))
 
 
+def place_display(spark, d):
+    return _people(spark, d).where("location is not null").select("person_id", entities.location_display(entities.location_parts(F.col("location")), F.col("location")).alias("display"))
+
+
+def record_fields(spark, d):
+    c = F.col
+    return _people(spark, d).select("person_id", normalize.title_spaces(c("current_title")).alias("spaced"), normalize.title_short(c("current_title")).alias("short"), normalize.company(c("current_company")).alias("company"))
+
+
 # ---- quality
 
 
@@ -256,6 +269,35 @@ def expansion_topk(spark, d):
     return terms.expansions(_metrics(spark, d), 10, 1.0, 0.05).select("term", "expansion", F.round("weight", 6).alias("weight"), "rank")
 
 
+def cooccurrence_significant(spark, d):
+    return _rounded(terms.significant(_metrics(spark, d), 1.0, 0.05, 0.0))
+
+
+def one_hop_expansion(spark, d):
+    return expand.one_hop(terms.expansions(_metrics(spark, d), 10, 1.0, 0.05), "building").select("expansion", F.round("weight", 6).alias("weight"))
+
+
+def engine_expansion(spark, d):
+    t = cut(terms.expansions(_metrics(spark, d), 10, 1.0, 0.05))
+    return expand.multi_hop(t, t.select("term").distinct(), least=0.03, k=20).select("start", "expansion", F.round("weight", 6).alias("weight"), "hop")
+
+
+def expansion_types(spark, d):
+    return expand.by_type(terms.expansions(_metrics(spark, d), 10, 1.0, 0.05))
+
+
+def term_nodes(spark, d):
+    words = _people(spark, d).select(F.explode(F.split(F.lower("current_title"), r"[^a-z0-9]+")).alias("word")).unionByName(spark.sql("SELECT explode(array('machinery', 'Europe', 'economy', 'building', 'skill:brand#11')) AS word"))
+    return expand.nodes_of(words.where("word <> ''"), _docs(spark, d).select("term"))
+
+
+def expansion_idf(spark, d):
+    docs = _docs(spark, d)
+    n = docs.select("person_id").distinct().agg(F.count("*").alias("total"))
+    df = docs.select("person_id", F.substring_index("term", ":", -1).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    return expand.idf_weighted(terms.expansions(_metrics(spark, d), 10, 1.0, 0.05), df).select("term", "expansion", F.round("weight", 6).alias("weight"))
+
+
 def term_associations(spark, d):
     return terms.associations(_metrics(spark, d), "machinery").select("term", "associated", F.round("pmi", 6).alias("pmi"))
 
@@ -265,7 +307,7 @@ def synonyms_cosine(spark, d):
 
 
 def tfidf_terms(spark, d):
-    return terms.tfidf(view(spark, d, "documents").where("lang = 'en'"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("tf"), F.round(F.sum("tfidf"), 4).alias("weight"))
+    return terms.tfidf(view(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("tf"), F.round(F.sum("tfidf"), 4).alias("weight"))
 
 
 def multi_hop_expansion(spark, d):
@@ -282,7 +324,7 @@ def graph_expansion(spark, d):
 
 
 def _overlaps(spark, d):
-    return relations.overlaps(view(spark, d, "stints").where("n_items > 1"), AS_OF, 0.0)
+    return relations.overlaps(view(spark, d, "stints"), AS_OF, 0.0)
 
 
 def colleague_overlap(spark, d):
@@ -290,16 +332,16 @@ def colleague_overlap(spark, d):
 
 
 def relationship_score(spark, d):
-    return relations.strength(relations.overlaps(view(spark, d, "stints").where("n_items > 1"), AS_OF)).groupBy("person1").agg(F.count("*").alias("n"), F.round(F.sum("final_score"), 4).alias("score"), F.round(F.max("final_score"), 6).alias("best"))
+    return relations.strength(relations.overlaps(view(spark, d, "stints"), AS_OF)).groupBy("person1").agg(F.count("*").alias("n"), F.round(F.sum("final_score"), 4).alias("score"), F.round(F.max("final_score"), 6).alias("best"))
 
 
 def connections(spark, d):
-    edges = relations.strength(relations.overlaps(view(spark, d, "stints").where("n_items > 1"), AS_OF))
+    edges = relations.strength(relations.overlaps(view(spark, d, "stints"), AS_OF, of=[1]))
     return relations.connections(edges, 1).select("other", F.round("final_score", 6).alias("score"))
 
 
 def mutual_connectors(spark, d):
-    edges = relations.strength(relations.overlaps(view(spark, d, "stints").where("n_items > 1"), AS_OF))
+    edges = relations.strength(relations.overlaps(view(spark, d, "stints"), AS_OF, of=[1, 2]))
     return relations.connectors(edges, 1, 2).select("connector", F.round("score", 6).alias("score"), F.round("years_ago", 6).alias("years_ago"))
 
 
@@ -331,24 +373,107 @@ def vector_topk(spark, d):
 
 
 def similar_items(spark, d):
-    return vectors.similar_to(view(spark, d, "embeddings"), 1)
+    e = view(spark, d, "embeddings")
+    return vectors.similar_to_all(e, e.where("vec_id % 50 = 0"))
+
+
+def _aspects(spark, d):
+    parts = F.array(*(F.struct(F.lit(a).alias("aspect"), F.slice("embedding", 16 * i + 1, 16).alias("embedding")) for i, a in enumerate(vectors.ASPECTS)))
+    return view(spark, d, "embeddings").select("vec_id", F.explode(parts).alias("x")).select("vec_id", "x.*").withColumn("embedding", vectors.normalized(F.col("embedding")))
+
+
+def aspect_topk(spark, d):
+    return vectors.aspect_top_k(_aspects(spark, d), "skills", _query_vector(16), 10)
+
+
+def stored_aspects(spark, d):
+    a = vectors.aspects_from_json(view(spark, d, "multi_aspect_embeddings"))
+    return a.groupBy("person_id", "aspect").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max("text").alias("text"))
+
+
+def stored_aspects_by_id(spark, d):
+    ids = [r[0] for r in _people(spark, d).select("person_id").orderBy("person_id").limit(500).collect()]  # the feature: a list of ids
+    return vectors.aspects_from_json(view(spark, d, "multi_aspect_embeddings"), ids=ids).groupBy("aspect").agg(F.count("*").alias("n"))
+
+
+def profile_summaries(spark, d):
+    f = _fanin(spark, d)
+    told = texts.aspect_texts(f).groupBy("person_id").pivot("aspect", vectors.ASPECTS).agg(F.first("text"))
+    told = told.withColumn("m", F.when(F.col("skills").isNotNull(), F.array(F.lit("skills"), F.lit("education"))).otherwise(F.array(F.lit("current_role"))))
+    return told.select("person_id", texts.profile_summary(told, "m").alias("summary"))
 
 
 def multi_aspect_topk(spark, d):
-    names = ["current_role", "experience", "skills", "education"]
-    parts = F.array(*(F.struct(F.lit(a).alias("aspect"), F.slice("embedding", 16 * i + 1, 16).alias("embedding")) for i, a in enumerate(names)))
-    long = view(spark, d, "embeddings").select("vec_id", F.explode(parts).alias("x")).select("vec_id", "x.*").withColumn("embedding", vectors.normalized(F.col("embedding")))
     q = _query_vector(16)
-    return vectors.multi_aspect(long, {a: q for a in names}, dict(zip(names, (0.4, 0.3, 0.2, 0.1))), 10)
+    return vectors.multi_aspect(_aspects(spark, d), {a: q for a in vectors.ASPECTS}, dict(zip(vectors.ASPECTS, (0.4, 0.3, 0.2, 0.1))), 10)
 
 
 def profile_texts(spark, d):
     f = _fanin(spark, d)
-    return f.select("person_id", F.md5(texts.profile_text(f)).alias("digest"))
+    return f.select("person_id", *(texts.profile_text(f, t).alias(f"{t}_text") for t in texts.TEMPLATES))
 
 
 def aspect_texts(spark, d):
-    return texts.aspect_texts(_fanin(spark, d)).groupBy("aspect").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"))
+    return texts.aspect_texts(_fanin(spark, d))
+
+
+def _careers(spark, d):
+    """Profiles with their stints, the latest first."""
+    jobs = F.sort_array(F.collect_list(F.struct("start_date", "company", "title")), asc=False)
+    past = view(spark, d, "stints").groupBy("person_id").agg(jobs.alias("j"))
+    past = past.select("person_id", F.transform("j", lambda x: F.struct(x["title"].alias("title"), x["company"].alias("company"))).alias("experience"), F.transform("j", lambda x: x["title"]).alias("experience_titles"), F.transform("j", lambda x: x["company"]).alias("experience_companies"))
+    return view(spark, d, "profiles").join(past, "person_id", "left")
+
+
+def experience_fanin(spark, d):
+    c = _careers(spark, d)
+    return c.select("person_id", F.coalesce(F.size("experience"), F.lit(0)).alias("n"), F.array_join(F.slice("experience_companies", 1, 3), "|").alias("latest"))
+
+
+def experience_texts(spark, d):
+    return texts.aspect_texts(_careers(spark, d)).where("aspect = 'experience'").select("person_id", "text")
+
+
+def career_texts(spark, d):
+    c = _careers(spark, d)
+    return c.select("person_id", texts.profile_text(c, "career_focused").alias("text"))
+
+
+def past_employers(spark, d):
+    c = _careers(spark, d).withColumn("normalized_company", F.col("current_company"))
+    asked = ["Supplier#000000001", "Supplier#000000007"]
+    return search.entity_filter(c, companies=asked, locations=["EUROPE", "ASIA"]).select("person_id", "current_company", "metro_area")
+
+
+def experience_score(spark, d):
+    c = _careers(spark, d).withColumn("normalized_title", F.lit("")).withColumn("normalized_company", F.lit(""))
+    return search.legacy_score(c, ["steel", "brass"], 2000, locations=["EUROPE"]).select("person_id", F.round("score", 6).alias("score"))
+
+
+def company_location_filter(spark, d):
+    e = entities.location_entities(entities.title_entities(_people(spark, d), "current_title"), "location")
+    names, places = ([r[0] for r in quality.top(_people(spark, d), c, 5).collect()] for c in ("normalized_company", "normalized_location"))  # five each
+    return search.entity_filter(e, companies=names, locations=places).select("person_id", "normalized_company", "city", "metro_area")
+
+
+def ranked_filters_score(spark, d):
+    e = entities.location_entities(entities.title_entities(_scored(spark, d), "current_title"), "location")
+    return search.legacy_score(e, WORDS, AS_OF_YEAR, seniority=["manager", "director"], locations=["New York City Metro"]).select("person_id", F.round("score", 6).alias("score"))
+
+
+def paged_search(spark, d):
+    s = search.legacy_score(_scored(spark, d), WORDS, AS_OF_YEAR).where("score > 0").withColumn("score", F.round("score", 6))
+    return search.page(s.select("person_id", "score"), [F.desc("score"), "person_id"], 20, 10)
+
+
+def score_explanations(spark, d):
+    s = search.normalized_score(_scored(spark, d), WORDS, RELATED, AS_OF_YEAR)
+    return s.select("person_id", search.score_explanation(s).alias("explanation"))
+
+
+def widened_full_text(spark, d):
+    terms_ = search.condition(["auditor"], {"title:analyst": 0.6, "role:finance": 0.4, "skill:risk": 0.51})
+    return search.any_full_text(_people(spark, d), terms_, ["current_title", "normalized_title"]).select("person_id", "current_title")
 
 
 def parse_queries(spark, d):
@@ -357,7 +482,7 @@ def parse_queries(spark, d):
     return spark.createDataFrame(rows, "query string, kind string, value string")
 
 
-_QUERIES = [p3_found, weighted_like_search, finance_search, domain_rescore_topk, profile_fanin_collect, skill_exists_semijoin, entity_filters, fulltext_all_terms, facets, suggestions, normalized_score, legacy_score, hybrid_merge, company_normalize_regex, company_normalize, location_normalize, record_hash_dedup, fuzzy_dedup, year_parse, upsert_touch, upsert_replace, seniority_extract, role_type_argmax, specialization_first_match, title_entities, location_components, rule_confidence_gate, extraction_stats, title_variations, quality_report, top_companies, year_distribution, token_frequency, temporal_term_filter, temporal_clean, term_documents_v1, term_documents_v2, doc_frequency, cooccurrence_pmi, cooccurrence_weighted, expansion_topk, term_associations, synonyms_cosine, tfidf_terms, multi_hop_expansion, graph_expansion, colleague_overlap, relationship_score, connections, mutual_connectors, career_lead, transition_matrix, transition_patterns, vector_topk, similar_items, multi_aspect_topk, profile_texts, aspect_texts, parse_queries]
+_QUERIES = [p3_found, weighted_like_search, finance_search, domain_rescore_topk, profile_fanin_collect, skill_exists_semijoin, entity_filters, fulltext_all_terms, facets, suggestions, normalized_score, legacy_score, hybrid_merge, company_normalize_regex, company_normalize, location_normalize, record_hash_dedup, fuzzy_dedup, year_parse, upsert_touch, upsert_replace, seniority_extract, role_type_argmax, specialization_first_match, title_entities, location_components, rule_confidence_gate, extraction_stats, title_variations, quality_report, top_companies, year_distribution, token_frequency, temporal_term_filter, temporal_clean, term_documents_v1, term_documents_v2, doc_frequency, cooccurrence_pmi, cooccurrence_weighted, expansion_topk, term_associations, synonyms_cosine, tfidf_terms, multi_hop_expansion, graph_expansion, colleague_overlap, relationship_score, connections, mutual_connectors, career_lead, transition_matrix, transition_patterns, vector_topk, similar_items, multi_aspect_topk, profile_texts, aspect_texts, parse_queries, aspect_topk, stored_aspects, stored_aspects_by_id, profile_summaries, experience_fanin, experience_texts, career_texts, past_employers, experience_score, company_location_filter, ranked_filters_score, paged_search, score_explanations, widened_full_text, cooccurrence_significant, one_hop_expansion, engine_expansion, expansion_types, term_nodes, expansion_idf, place_display, record_fields]
 
 
 def queries() -> dict[str, Query]:

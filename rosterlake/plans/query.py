@@ -89,10 +89,24 @@ def request(text: str, expansions: list[tuple[str, float]] = (), limit: int = 20
     filters = {"companies": e["companies"], "locations": e["locations"], "seniority_levels": e["seniority"]}
     if e["experience_years"]:
         filters["min_experience_years"] = min(e["experience_years"])
+    filters |= {name: True for name, c in (("is_current_position", "current"), ("recent_only", "recent")) if c in p["constraints"]}
     boosts = {"title": 10.0, "company": 8.0, "expanded": 3.0, "skill": 2.0, "description": 1.0, "recency": 2.0, "seniority_level": 1.5}
     return {"terms": terms, "filters": {k: v for k, v in filters.items() if v}, "boosts": boosts, "limit": limit}
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a query that are looked up in the term graph."""
+    return [w for w in text.lower().replace(",", " ").replace(";", " ").split() if len(w) > 2 and w not in rules.GRAPH_STOPWORDS]
+
+
+def explain_expansion(text: str, expanded: dict[str, float]) -> dict:
+    """What a text was read as, and its expansions by type with scores to three places."""
+    groups: dict[str, list[dict]] = {}
+    for t, s in expanded.items():
+        groups.setdefault(t.split(":")[0] if ":" in t else "general", []).append({"term": t.split(":")[-1], "score": round(s, 3)})
+    return {"query": text, **parse(text), "expansions": groups}
+
+
 def query_text(titles=(), companies=(), skills=(), locations=()) -> str:
     """The text of a structured query, for embedding."""
     parts = (("Role", titles), ("Company", companies), ("Location", locations), ("Skills", skills))

@@ -6,7 +6,10 @@ from collections.abc import Callable
 from datetime import date
 
 from rosterlake.functions import rules
+from rosterlake.operators.expand import NODE_PREFIXES, PREFIXES
 from rosterlake.operators.search import SLOTS
+from rosterlake.operators.texts import MISSING, TEMPLATES
+from rosterlake.operators.vectors import ASPECTS
 from rosterlake.plans.query import QueryPlan
 from rosterlake.sources.fixtures import with_views
 
@@ -47,6 +50,14 @@ def title_sql(c: str) -> str:
     return rf"coalesce(trim(regexp_replace({x}, '\s+', ' ', 'g')), '')"
 
 
+def title_case_sql(x: str) -> str:
+    return rf"array_to_string(list_transform(regexp_extract_all({x}, '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
+def lookup_sql(x: str, variants: dict[str, list[str]]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {q(v)} THEN {q(k)}" for v, k in {v: k for k, vs in variants.items() for v in vs}.items()) + " END"
+
+
 def short_title_sql(c: str) -> str:
     return f"lower(trim({c}))"
 
@@ -108,7 +119,7 @@ _TABLE = """, e AS (SELECT term1 AS term, term2 AS expansion, confidence AS weig
 
 
 def _overlap(as_of: date, least: float, extra: str = "") -> str:
-    return f"""{with_views('stints')}, s AS (SELECT * FROM stints WHERE n_items > 1), o AS (SELECT a.person_id AS person1, b.person_id AS person2, a.company, greatest(a.start_date, b.start_date) AS overlap_start, least(a.end_date, b.end_date) AS overlap_end
+    return f"""{with_views('stints')}, s AS (SELECT * FROM stints), o AS (SELECT a.person_id AS person1, b.person_id AS person2, a.company, greatest(a.start_date, b.start_date) AS overlap_start, least(a.end_date, b.end_date) AS overlap_end
  FROM s a JOIN s b ON a.company = b.company AND a.person_id < b.person_id AND a.start_date <= b.end_date AND a.end_date >= b.start_date),
  w AS (SELECT *, (overlap_end - overlap_start) / 30.44::DOUBLE AS months, greatest(0.0, (DATE '{as_of}' - overlap_end) / 365.25::DOUBLE) AS years_ago FROM o WHERE overlap_end > overlap_start),
  r AS (SELECT *, least(months / 12, 1.0::DOUBLE) AS base, CASE WHEN months < 3 THEN 0.3 WHEN months < 6 THEN 0.6 WHEN months >= 12 THEN 1.2 ELSE 1.0 END::DOUBLE AS dur, exp(-years_ago / 5.0) AS rec,
@@ -149,9 +160,9 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
     exact = f"({share('current_title')} * 0.4 + {share('current_company')} * 0.3 + {share('skills')} * 0.2)"
     hit = lambda c: "(" + " OR ".join(f"contains(coalesce(lower({c}), ''), {q(t)})" for t in words) + ")"
 
-    def legacy(boost: float) -> str:
+    def legacy(boost: float, extra: str = "0.0") -> str:
         skill = " OR ".join(f"contains(lower(s), {q(t)})" for t in words)
-        total = f"CASE WHEN {hit('current_title')} THEN {10.0 * boost} ELSE 0 END + CASE WHEN {hit('current_company')} THEN 8.0 ELSE 0 END + CASE WHEN {hit('normalized_title')} THEN 6.0 ELSE 0 END + CASE WHEN {hit('normalized_company')} THEN 5.0 ELSE 0 END + len(list_filter(skill_list, lambda s: {skill})) * 2.0 + CASE WHEN {year} - graduation_year <= 10 THEN 2.0 * (10 - ({year} - graduation_year)) / 10 ELSE 0.0 END"
+        total = f"CASE WHEN {hit('current_title')} THEN {10.0 * boost} ELSE 0 END + CASE WHEN {hit('current_company')} THEN 8.0 ELSE 0 END + CASE WHEN {hit('normalized_title')} THEN 6.0 ELSE 0 END + CASE WHEN {hit('normalized_company')} THEN 5.0 ELSE 0 END + len(list_filter(skill_list, lambda s: {skill})) * 2.0 + CASE WHEN {year} - graduation_year <= 10 THEN 2.0 * (10 - ({year} - graduation_year)) / 10 ELSE 0.0 END + {extra}"
         size = "length(concat(coalesce(current_title, ''), coalesce(current_company, ''), coalesce(normalized_title, '')))"
         return f"CASE WHEN {size} > 0 THEN ({total})::DOUBLE / ln(1.0 + {size}) ELSE ({total})::DOUBLE END"
 
@@ -164,7 +175,62 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
       g AS (SELECT person_id, {', '.join(rule)}, CASE WHEN conf >= 0.7 THEN conf ELSE greatest(conf, 0.1) END AS confidence, CASE WHEN conf >= 0.7 THEN 'rules' ELSE 'ai_fallback' END AS extraction_method FROM c)"""
     vec = lambda n: "[" + ", ".join(f"{x}::DOUBLE" for x in vector(n)) + "]"
     dd = "embedding::DOUBLE[]"
+    held = lambda c: f"CASE WHEN trim({c}) <> '' THEN trim({c}) END"
+    study = f"nullif(concat_ws(' ', {held('degree')}, {held('major')}, graduation_year::VARCHAR), '')"
+    field = lambda c, x: f"coalesce({x}, {q(MISSING[c])})"
+    say = {c: field(c, held(c)) for c in ("name", "current_title", "current_company", "location")} | {"education": field("education", study), "experience": q(MISSING["experience"]), "skills": field("skills", "nullif(array_to_string(skill_list[1:10], ', '), '')")}
+    filled = lambda t, v: rf"trim(regexp_replace({' || '.join(v[p[1:]] if p.startswith('{') else q(p) for p in t.replace('{', '|{').replace('}', '|').split('|') if p)}, '\s+', ' ', 'g'))"
+    role_text = f"nullif(concat_ws(' ', {held('current_title')}, 'at ' || {held('current_company')}, 'in ' || {held('location')}), '')"
+    study_text = f"nullif(concat_ws(' ', {held('degree')}, 'in ' || {held('major')}, '(' || graduation_year || ')'), '')"
+    skills_text = "CASE WHEN len(skill_list) > 0 THEN 'Skills and expertise: ' || array_to_string(skill_list[1:15], ', ') END"
+    careers = with_views("profiles") + ", j AS (SELECT person_id, list(company ORDER BY start_date DESC, company DESC, title DESC) AS cs, list(title ORDER BY start_date DESC, company DESC, title DESC) AS ts, list(title || ' at ' || company ORDER BY start_date DESC, company DESC, title DESC) AS jobs FROM stints GROUP BY 1), c AS (SELECT p.*, cs, ts, jobs FROM profiles p LEFT JOIN j USING (person_id))"
+    display = f"coalesce({place['metro_area']}, CASE WHEN {place['state']} IS NOT NULL THEN concat_ws(', ', {place['city']}, {place['state']}) END, CASE WHEN {place['country']} <> 'United States' THEN concat_ws(', ', {place['city']}, {place['country']}) END, {place['city']}, {title_case_sql('location')}, '')"
+    bare_place = rf"regexp_replace(lower(trim(location)), {q(rules.COUNTRY_SUFFIX)}, '')"
+    short_title = rf"trim(regexp_replace(regexp_replace(lower(trim(current_title)), '\b(the|a|an)\b', '', 'g'), '\s+', ' ', 'g'))"
+    for a, b in rules.RULES_ABBREVIATIONS.items():
+        short_title = f"regexp_replace({short_title}, {q(chr(92) + 'b' + a + chr(92) + 'b')}, {q(b)}, 'g')"
+    skip = f"((split_part(term1, ':', 1) = split_part(term2, ':', 1) AND split_part(term1, ':', 1) <> 'title') OR list_sort([split_part(term1, ':', 1), split_part(term2, ':', 1)]) = ['company', 'location'] OR term1 IN ({', '.join(map(q, rules.GENERIC_TERMS))}) OR term2 IN ({', '.join(map(q, rules.GENERIC_TERMS))}))"
+    hops = """, g AS (SELECT * FROM x WHERE rank <= 5), h1 AS (SELECT term AS start, expansion, max(weight * 0.5) AS w FROM g WHERE term <> expansion GROUP BY 1, 2),
+          h2 AS (SELECT h1.start, g.expansion, max(h1.w * g.weight * 0.25) AS w FROM h1 JOIN g ON g.term = h1.expansion WHERE g.expansion <> h1.start GROUP BY 1, 2), u AS (SELECT start, expansion, w, 1 AS hop FROM h1 UNION ALL SELECT start, expansion, w, 2 FROM h2),
+          best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY start, expansion ORDER BY w DESC, hop) = 1)"""
+    ranked = f"CASE WHEN {rank_case('t', False)} IN ('manager', 'director') THEN 1.5 ELSE 0.0 END + CASE WHEN metro_area = 'New York City Metro' THEN 1.0 ELSE 0.0 END"
+    percent = lambda x: f"printf('%.2f%%', round_even({x}, 4) * 100)"
+    words_in = lambda c, w: f"coalesce(list_contains(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), {q(w)}), false)"
+    stored = "e AS (SELECT person_id, embedding_data::VARCHAR AS j FROM multi_aspect_embeddings WHERE json_valid(embedding_data::VARCHAR)), a AS (" + " UNION ALL ".join(f"SELECT person_id, {q(x)} AS aspect, json_extract(j, '$.aspects.{x}') AS o FROM e" for x in ASPECTS) + "), s AS (SELECT person_id, aspect, o ->> '$.text' AS text, json_array_length(o, '$.embedding') AS dim FROM a WHERE o IS NOT NULL AND json_type(o) <> 'NULL')"
     return {
+        "location_normalize": f"SELECT person_id, low, CASE WHEN location IS NULL OR location = '' THEN '' ELSE coalesce({lookup_sql('low', rules.LOCATION_VARIANTS)}, CASE WHEN contains(low, ',') THEN {lookup_sql('trim(split_part(low, chr(44), 1))', rules.LOCATION_VARIANTS)} END, {title_case_sql('location')}) END AS normalized FROM (SELECT person_id, location, {bare_place} AS low FROM alumni) z",
+        "temporal_clean": f"SELECT doc_id, md5({undated('text')}) AS digest FROM documents WHERE text IS NOT NULL",
+        "title_variations": rf"SELECT person_id, array_to_string(list_sort(list_distinct(list_filter([t, regexp_replace(t, 'software engineer', 'swe', 'g'), regexp_replace(t, 'product manager', 'pm', 'g'), trim(regexp_replace(t, '\b(senior|junior|lead|principal|staff)\b\s*', '', 'g')), regexp_replace(t, 'developer', 'engineer', 'g'), regexp_replace(t, 'engineer', 'developer', 'g')], lambda x: x <> ''))), '|') AS variations FROM {titled} z",
+        "place_display": f"SELECT person_id, {display} AS display FROM alumni WHERE location IS NOT NULL",
+        "record_fields": rf"SELECT person_id, coalesce(trim(regexp_replace(regexp_replace(current_title, '\s*[-–—]\s*', ' - ', 'g'), '\s+', ' ', 'g')), '') AS spaced, {short_title} AS short, CASE WHEN current_company IS NULL OR current_company = '' THEN '' ELSE coalesce({lookup_sql(cleaned, rules.COMPANY_VARIANTS)}, {title_case_sql(cleaned)}) END AS company FROM alumni",
+        "term_documents_v1": f"""WITH p AS (SELECT *, {nt} AS t FROM alumni), r AS (SELECT person_id, 'company' AS k, normalized_company AS v FROM p UNION ALL SELECT person_id, 'title', t FROM p UNION ALL SELECT person_id, 'seniority', {rank_case('t', False)} FROM p UNION ALL SELECT person_id, 'role', {most_class('t', rules.ROLE_TYPES)} FROM p UNION ALL SELECT person_id, 'spec', {first_class('t', rules.SPECIALIZATIONS)} FROM p
+          UNION ALL SELECT person_id, 'dept', {first_class('t', rules.DEPARTMENTS)} FROM p UNION ALL SELECT person_id, 'industry', {first_class('t', rules.INDUSTRY_FOCUS)} FROM p UNION ALL SELECT person_id, 'location', CASE WHEN location IS NOT NULL THEN {display} END FROM p UNION ALL SELECT person_id, 'skill', trim(skill) FROM skills WHERE person_id IN (SELECT person_id FROM alumni)),
+          d AS (SELECT DISTINCT person_id, k || ':' || lower(v) AS term FROM r WHERE v <> '') SELECT term, count(*) AS n FROM d GROUP BY 1""",
+        "profile_texts": f"WITH {_SKILLS} SELECT person_id, {', '.join(f'{filled(t, say)} AS {k}_text' for k, t in TEMPLATES.items())} FROM f",
+        "aspect_texts": f"WITH {_SKILLS}, a AS (SELECT person_id, 'current_role' AS aspect, {role_text} AS text FROM f UNION ALL SELECT person_id, 'skills', {skills_text} FROM f UNION ALL SELECT person_id, 'education', {study_text} FROM f) SELECT * FROM a WHERE text IS NOT NULL",
+        "profile_summaries": f"""WITH {_SKILLS}, a AS (SELECT person_id, {role_text} AS r, {skills_text} AS s, {study_text} AS e FROM f WHERE {role_text} IS NOT NULL OR len(skill_list) > 0 OR {study_text} IS NOT NULL)
+          SELECT person_id, CASE WHEN s IS NOT NULL THEN concat_ws(' | ', r, CASE WHEN length(s) > 100 THEN s[1:100] || '...' ELSE s END) ELSE coalesce('Current: ' || r, '') END AS summary FROM a""",
+        "experience_fanin": careers + " SELECT person_id, coalesce(len(cs), 0)::INT AS n, array_to_string(cs[1:3], '|') AS latest FROM c",
+        "experience_texts": careers + " SELECT person_id, array_to_string(jobs[1:5], '. ') AS text FROM c WHERE len(jobs) > 0",
+        "career_texts": careers + f" SELECT person_id, {filled(TEMPLATES['career_focused'], say | {'education': field('education', 'graduation_year::VARCHAR'), 'skills': q(MISSING['skills']), 'experience': field('experience', 'array_to_string(jobs[1:3], ' + q('; ') + ')')})} AS text FROM c",
+        "past_employers": careers + " SELECT person_id, current_company, metro_area FROM c WHERE (current_company IN ('Supplier#000000001', 'Supplier#000000007') OR coalesce(list_has_any(cs, ['Supplier#000000001', 'Supplier#000000007']), false)) AND metro_area IN ('EUROPE', 'ASIA')",
+        "experience_score": careers + """, s AS (SELECT person_id, CASE WHEN regexp_matches(lower(current_title), 'steel|brass') THEN 10.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower(current_company), 'steel|brass') THEN 8.0 ELSE 0.0 END + coalesce(len(list_filter(ts, lambda t: regexp_matches(lower(t), 'steel|brass'))), 0) * 2.0 + CASE WHEN metro_area = 'EUROPE' THEN 1.0 ELSE 0.0 END
+          + CASE WHEN 2000 - graduation_year <= 10 THEN 2.0 * (10 - (2000 - graduation_year)) / 10 ELSE 0.0 END AS t, length(concat(coalesce(current_title, ''), coalesce(current_company, ''))) AS n FROM c) SELECT person_id, round(CASE WHEN n > 0 THEN t::DOUBLE / ln(1.0 + n) ELSE t::DOUBLE END, 6) AS score FROM s""",
+        "company_location_filter": f"WITH t AS (SELECT normalized_company FROM alumni WHERE trim(normalized_company) <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), p AS (SELECT person_id, normalized_company, normalized_location, {place['city']} AS city, {place['metro_area']} AS metro_area FROM alumni), l AS (SELECT list(v) AS l FROM (SELECT normalized_location AS v FROM alumni WHERE trim(normalized_location) <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) z) SELECT person_id, normalized_company, city, metro_area FROM p, l WHERE normalized_company IN (SELECT normalized_company FROM t) AND (coalesce(list_contains(l, metro_area), false) OR coalesce(list_contains(l, normalized_location), false) OR coalesce(list_contains(l, city), false))",
+        "ranked_filters_score": f"WITH {_SKILLS}, g AS (SELECT *, {nt} AS t, {place['metro_area']} AS metro_area FROM f) SELECT person_id, round({legacy(1.0, ranked)}, 6) AS score FROM g",
+        "paged_search": f"WITH {_SKILLS}, s AS (SELECT person_id, {legacy(1.0)} AS raw FROM f) SELECT person_id, round(raw, 6) AS score FROM s WHERE raw > 0 ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 20",
+        "score_explanations": f"""WITH {_SKILLS}, g AS (SELECT *, array_to_string(skill_list, ' ') AS skills FROM f), s AS (SELECT person_id, {exact} AS e, {cooc} AS c, CASE WHEN {year} - graduation_year <= 10 THEN 0.2::DOUBLE * (10 - ({year} - graduation_year)) / 10 ELSE 0.0 END AS m FROM g), z AS (SELECT *, round_even(greatest(0.0, least(1.0, e * 0.4 + c * 0.3 + (1 - (e * 0.4 + c * 0.3)) * m * 0.5)), 4) AS fs FROM s)
+          SELECT person_id, concat_ws(chr(10), 'Final Score: ' || {percent('fs')}, 'Score Components:', '  - Exact match score: ' || {percent('e')} || ' (weight: 40%)', '  - Co-occurrence match score: ' || {percent('c')} || ' (weight: 30%)', CASE WHEN m > 0 THEN 'Score Modifiers: +' || {percent('m')} END) AS explanation FROM z""",
+        "widened_full_text": "SELECT person_id, current_title FROM alumni WHERE " + " OR ".join(words_in(c, w) for w in ("auditor", "analyst", "risk") for c in ("current_title", "normalized_title")),
+        "cooccurrence_significant": with_views("doc_terms") + _METRICS + _PLAIN + f" SELECT term1, term2, n12, n1, n2, round(pmi, 6) AS pmi, round(npmi, 6) AS npmi, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(reverse_confidence, 6) AS reverse_confidence FROM m WHERE lift > 1.0 AND confidence > 0.05 AND npmi > 0.0 AND NOT {skip}",
+        "one_hop_expansion": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + f" SELECT expansion, round(w, 6) AS weight FROM (SELECT expansion, max(weight) AS w FROM x WHERE rank <= 5 AND term IN ({', '.join(q(p + 'building') for p in PREFIXES)}) GROUP BY 1) z ORDER BY w DESC, expansion LIMIT 5",
+        "engine_expansion": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + hops + " SELECT start, expansion, round(w, 6) AS weight, hop FROM best WHERE w >= 0.03 QUALIFY row_number() OVER (PARTITION BY start ORDER BY round(w, 9) DESC, expansion) <= 20",
+        "expansion_types": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + ", y AS (SELECT CASE WHEN contains(expansion, ':') THEN split_part(expansion, ':', 1) ELSE 'general' END AS type, regexp_replace(expansion, '^.*:', '') AS t, max(round(weight, 3)) AS s FROM x GROUP BY 1, 2) SELECT type, count(*) AS n, string_agg(t, '|' ORDER BY s DESC, t) AS terms FROM y GROUP BY 1",
+        "term_nodes": with_views("doc_terms") + f", w AS (SELECT DISTINCT lower(trim(word)) AS word FROM (SELECT unnest(regexp_split_to_array(lower(current_title), '[^a-z0-9]+')) AS word FROM alumni UNION ALL SELECT unnest(['machinery', 'Europe', 'economy', 'building', 'skill:brand#11'])) z WHERE word <> ''), p AS (SELECT * FROM (VALUES {', '.join(f'({k}, {q(p)})' for k, p in enumerate(['', *NODE_PREFIXES]))}) v(k, p)), h AS (SELECT word, p || word AS node, k FROM w, p WHERE p || word IN (SELECT term FROM doc_terms) QUALIFY row_number() OVER (PARTITION BY word ORDER BY k) = 1) SELECT w.word, coalesce(node, w.word) AS node FROM w LEFT JOIN h USING (word)",
+        "expansion_idf": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + ", b AS (SELECT regexp_replace(term, '^.*:', '') AS w, ln((1.0::DOUBLE + max(total)) / (1.0::DOUBLE + count(DISTINCT person_id))) + 1 AS idf FROM doc_terms, t GROUP BY 1) SELECT x.term, x.expansion, round(CASE WHEN idf IS NULL THEN weight ELSE weight * (0.5::DOUBLE + 0.5::DOUBLE * idf / (SELECT max(idf) FROM b)) END, 6) AS weight FROM x LEFT JOIN b ON b.w = regexp_replace(x.expansion, '^.*:', '')",
+        "aspect_topk": f"WITH v AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 33, 48) AS v FROM embeddings) SELECT vec_id, round(list_dot_product(v, {vec(16)}) / sqrt(list_dot_product(v, v)), 6) AS score FROM v ORDER BY 2 DESC, 1 LIMIT 10",
+        "stored_aspects": f"WITH {stored} SELECT person_id, aspect, count(*) AS n, max(dim)::INT AS dim, max(text) AS text FROM s GROUP BY 1, 2",
+        "stored_aspects_by_id": f"WITH {stored} SELECT aspect, count(*) AS n FROM s WHERE person_id IN (SELECT person_id FROM alumni ORDER BY person_id LIMIT 500) GROUP BY 1",
         "weighted_like_search": f"SELECT person_id, name, graduation_year, relevance_score FROM ({_positive(_search(ask, 30))}) z",
         "finance_search": f"SELECT person_id, name, graduation_year, relevance_score FROM ({_positive(_search(finance, 30))}) z",
         "domain_rescore_topk": _rescored(ask, 30, 10),
@@ -181,9 +247,9 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
         "hybrid_merge": f"WITH {_SKILLS}, k AS (SELECT person_id, {legacy(1.0)} AS score FROM f), m AS (SELECT person_id, count(DISTINCT skill) / 20.0::DOUBLE AS sim FROM skills GROUP BY 1) SELECT person_id, round(score + coalesce(sim, 0) * 0.3, 6) AS score FROM k LEFT JOIN m USING (person_id) WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 50",
         "company_normalize_regex": f"SELECT person_id, {cleaned} AS cleaned FROM alumni",
         "record_hash_dedup": "SELECT person_id, h FROM (SELECT person_id, created_at, md5(lower(coalesce(name, '')) || '_' || coalesce(current_company, '') || '_' || coalesce(graduation_year::VARCHAR, '')) AS h FROM alumni) z QUALIFY row_number() OVER (PARTITION BY h ORDER BY created_at NULLS FIRST, person_id) = 1",
-        "year_parse": r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 100000), '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year FROM documents",
-        "upsert_touch": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 'touched' ELSE 'old' END AS stamp FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
-        "upsert_replace": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_name END AS c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
+        "year_parse": r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(regexp_replace(text, '\s+', ' ', 'g'), '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year FROM documents",
+        "upsert_touch": "SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'touched' ELSE 'old' END AS stamp FROM customer",
+        "upsert_replace": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN upper(c_mktsegment) ELSE c_name END AS c_name, c_mktsegment FROM customer",
         "seniority_extract": f"SELECT person_id, {rank_case(low, False)} AS seniority, {rank_case(low, True)} AS level FROM alumni WHERE current_title IS NOT NULL",
         "role_type_argmax": f"SELECT person_id, {most_class(low, rules.ROLE_TYPES)} AS role_type FROM alumni WHERE current_title IS NOT NULL",
         "specialization_first_match": f"SELECT person_id, {first_class(low, rules.SPECIALIZATIONS)} AS specialization FROM alumni WHERE current_title IS NOT NULL",
@@ -209,7 +275,7 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
         "expansion_topk": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + " SELECT term, expansion, round(weight, 6) AS weight, rank FROM x",
         "term_associations": with_views("doc_terms") + _METRICS + _PLAIN + ", a AS (SELECT term1 AS term, term2 AS associated, pmi FROM m UNION ALL SELECT term2, term1, pmi FROM m) SELECT term, associated, round(pmi, 6) AS pmi FROM a WHERE term IN ('machinery', 'title:machinery', 'company:machinery', 'skill:machinery', 'role:machinery', 'industry:machinery') ORDER BY round(a.pmi, 9) DESC, associated LIMIT 10",
         "synonyms_cosine": with_views("doc_terms") + _METRICS + " SELECT term1, term2, round(n12 / sqrt(n1::DOUBLE * n2), 6) AS cosine FROM pc WHERE split_part(term1, ':', 1) = split_part(term2, ':', 1) AND n12 / sqrt(n1::DOUBLE * n2) >= 0.05",
-        "tfidf_terms": """WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{2,})', 1)) AS term FROM d WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+        "tfidf_terms": """WITH d AS (SELECT doc_id, text FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(\\p{L}{2,})', 1)) AS term FROM d WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
           n AS (SELECT count(*) AS n FROM d), f AS (SELECT term, count(*) AS df, n FROM tf, n GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.8 * n ORDER BY df DESC, term LIMIT 10000)
           SELECT term, sum(tf)::BIGINT AS tf, round(sum(tf * ln((n + 1) / (df + 1))), 4) AS weight FROM tf JOIN f USING (term) GROUP BY 1""",
         "multi_hop_expansion": with_views("doc_terms") + _METRICS + _PLAIN + _TABLE + """, g AS (SELECT * FROM x WHERE rank <= 5), h1 AS (SELECT term AS start, expansion, max(weight * 0.5) AS w FROM g WHERE term <> expansion GROUP BY 1, 2),
@@ -223,7 +289,7 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
         "transition_matrix": "WITH s AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events), n AS (SELECT event_type AS from_state, nx AS to_state, count(*) AS n FROM s WHERE event_type IS NOT NULL AND nx IS NOT NULL GROUP BY 1, 2) SELECT from_state, to_state, n, round(n / sum(n) OVER (PARTITION BY from_state), 6) AS p FROM n",
         "transition_patterns": with_views("stints") + ", s AS (SELECT company, end_date, lead(company) OVER (PARTITION BY person_id ORDER BY start_date, company) AS nx FROM stints WHERE start_date IS NOT NULL), n AS (SELECT company AS from_state, nx AS to_state, count(*) AS n FROM s WHERE nx IS NOT NULL AND end_date IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY from_state) AS p FROM n) SELECT from_state, to_state, n, round(p, 6) AS p FROM p WHERE n >= 5 ORDER BY n DESC, from_state, to_state LIMIT 20",
         "vector_topk": f"SELECT vec_id, round(list_dot_product({dd}, {vec(64)}), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10",
-        "similar_items": "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q WHERE vec_id <> 1 ORDER BY 2 DESC, 1 LIMIT 10",
+        "similar_items": "WITH q AS (SELECT vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT item, vec_id, round(list_dot_product(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q WHERE vec_id <> item) SELECT item, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, vec_id) <= 10",
         "multi_aspect_topk": f"""WITH a AS (SELECT * FROM (VALUES ('current_role', 0, 0.4), ('experience', 1, 0.3), ('skills', 2, 0.2), ('education', 3, 0.1)) v(aspect, i, w)), l AS (SELECT vec_id, aspect, w::DOUBLE AS w, list_slice(embedding::DOUBLE[], 16 * i + 1, 16 * i + 16) AS v FROM embeddings, a),
           s AS (SELECT vec_id, aspect, w, list_dot_product(v, {vec(16)}) / sqrt(list_dot_product(v, v)) AS s FROM l) SELECT vec_id, round(sum(s * w) / sum(w), 6) AS score, coalesce(array_to_string(list_sort(list(aspect) FILTER (WHERE s > 0.5)), ','), '') AS matched FROM s GROUP BY 1 ORDER BY score DESC, vec_id LIMIT 10""",
     }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterlake.session import table
 
@@ -26,14 +29,22 @@ def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The fixture view `name`, or the table of that name, over the tables in `d`."""
     if name not in VIEWS:
         return table(spark, d, name)
+    if name == "doc_terms":  # the same rows as its text, in one pass over the profiles
+        p, skills = view(spark, d, "profiles"), view(spark, d, "person_skills")
+        word = F.expr("substring(current_title, 1, instr(current_title, ' ') - 1)")
+        parts = {"industry": F.col("industry"), "location": F.col("metro_area"), "company": F.col("current_company")}
+        terms = F.array(*(F.concat(F.lit(f"{k}:"), F.lower(c)) for k, c in parts.items()), F.concat(F.lit("title:"), word))
+        mine = p.select("person_id", F.explode(F.array_distinct(F.filter(terms, lambda t: t.isNotNull()))).alias("term"))
+        return mine.unionByName(skills.select("person_id", F.concat(F.lit("skill:"), "skill").alias("term")))
     return frame(spark, VIEWS[name], {n: view(spark, d, n) for n in _NEEDS[name]})
 
 
 def frame(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A SQL text over named DataFrames, as one lazy plan."""
-    for n, df in tables.items():
-        df.createOrReplaceTempView(n)
-    return spark.sql(text)
+    """A SQL text over named DataFrames, as one lazy plan. The names are bound to the text alone: no view of the session
+    is made or hidden."""
+    for n in tables:
+        text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+    return spark.sql(text, **tables)
 
 
 def with_views(*names: str) -> str:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "current_title", "current_company", "location", "graduation_year", "degree", "major")])
@@ -34,6 +35,40 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return None
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A table of a database; with a numeric `column` and its `bounds` it is read in `parts` ranges at once. The driver
+    class must be on the class path."""
+    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column and bounds:
+        r = r.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return r.load()
+
+
+def read_mappings(path: str | None, fallback: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Names and their variants from a JSON file; the built-in ones where there is none or it cannot be read."""
+    try:
+        with open(path or "") as f:
+            held = json.load(f)
+    except (OSError, ValueError):
+        return fallback
+    return {k: [str(x) for x in v] for k, v in held.items() if isinstance(v, list)} if isinstance(held, dict) else fallback
+
+
+def read_expansions(spark: SparkSession, path: str) -> DataFrame:
+    """(term, expansion, weight, rank) from JSON lines of {term, expansions: [[term, weight], ...]} as `sinks.export_terms` writes."""
+    one = "term string, expansions array<struct<expansion:string,weight:double>>"
+    return spark.read.schema(one).json(path).select("term", F.posexplode("expansions").alias("p", "x")).select("term", "x.expansion", "x.weight", (F.col("p") + 1).alias("rank"))
+
+
+#: Columns of the engine's own tables.
+TABLES = {
+    "alumni": "person_id string, name string, current_title string, current_company string, normalized_company string, normalized_title string, location string, normalized_location string, graduation_year int, degree string, major string, record_hash string, created_at timestamp, updated_at timestamp",
+    "experience": "person_id string, company string, title string, location string, start_date date, end_date date, description string, is_current boolean",
+    "education": "person_id string, school string, degree string, field string, graduation_year int",
+    "skills": "person_id string, skill string",
+}
+
+
 def read_files(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame | None:
     """All readable files as one table; missing columns are null, unsupported files are passed over."""
     frames = [f for f in (read_any(spark, p, schema) for p in paths) if f is not None]

@@ -34,6 +34,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_terms(metrics: DataFrame, df: DataFrame, expansions: DataFrame, home: str, top: int = 1000) -> None:
+    """JSON of the term tables: the `top` pairs by pmi and terms by frequency (reports), the vocabulary with numbers, the
+    expansions of each term as an adjacency list."""
+    write_json(metrics.orderBy(F.desc(F.round("pmi", 9)), "term1", "term2").limit(top), f"{home}/cooccurrence_results")
+    write_json(df.orderBy(F.desc("df"), "term").limit(top), f"{home}/term_frequencies")
+    write_json(df.select("term", F.xxhash64("term").alias("number")), f"{home}/vocabulary")
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.struct("expansion", "weight").alias("x"))))
+    write_json(expansions.groupBy("term").agg(listed.alias("l")).select("term", F.transform("l", lambda r: r["x"]).alias("expansions")), f"{home}/expansion_lookup")
+
+
 class ResultCache:
     """Collected pages by configuration: the key is the md5 of the sorted JSON of all that shapes the result, paging
     included; entries end after `ttl` seconds and the least recently used go first."""

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from rosterlake.session import exists, names_in
 from rosterlake.sources.sinks import upsert_replace
 
 
-def latest_version(home: str) -> int:
-    """Number of the newest complete version under `home` (local or mounted shared folder), -1 if there is none."""
-    done = [int(n[1:]) for n in os.listdir(home) if n.startswith("v") and n[1:].isdigit() and os.path.exists(os.path.join(home, n, "_SUCCESS"))] if os.path.isdir(home) else []
-    return max(done, default=-1)
+def latest_version(spark: SparkSession, home: str, below: int | None = None) -> int:
+    """Number of the newest complete version under `home` (any storage Spark reads), -1 if there is none."""
+    found = sorted((int(n[1:]) for n in names_in(spark, home) if n.startswith("v") and n[1:].isdigit()), reverse=True)
+    return next((n for n in found if (below is None or n < below) and exists(spark, f"{home}/v{n}/_SUCCESS")), -1)
 
 
 def merge_stream(spark: SparkSession, source: str, schema: StructType, home: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
@@ -27,11 +26,8 @@ def merge_stream(spark: SparkSession, source: str, schema: StructType, home: str
 
     def merge(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        before = number - 1
-        while before >= 0 and not os.path.exists(os.path.join(home, f"v{before}", "_SUCCESS")):
-            before -= 1
-        old = spark.read.parquet(os.path.join(home, f"v{before}")) if before >= 0 else None
-        merged = upsert_replace(old, newest, keys) if old is not None else newest
-        merged.write.mode("overwrite").parquet(os.path.join(home, f"v{number}"))
+        before = latest_version(spark, home, number)
+        merged = upsert_replace(spark.read.parquet(f"{home}/v{before}"), newest, keys) if before >= 0 else newest
+        merged.write.mode("overwrite").parquet(f"{home}/v{number}")
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

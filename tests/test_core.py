@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from datetime import date
@@ -8,9 +9,12 @@ from pyspark.sql import functions as F
 from rosterlake.functions import entities, normalize, quality, rules
 from rosterlake.functions.text import fuzzy_ratio, ratio, title_case
 from rosterlake.operators import dedup, expand, relations, search, terms, vectors
+from rosterlake import session
 from rosterlake.plans import catalog, query
+from rosterlake.plans.engine import ProfileEngine
+from rosterlake.plans.graph import GraphExpansion, graph_source
 from rosterlake.sources import sinks
-from rosterlake.sources.readers import EngineConfig, read_any, read_files
+from rosterlake.sources.readers import EngineConfig, read_any, read_files, read_mappings
 from rosterlake.streaming.ingest import latest_version, merge_stream
 
 
@@ -163,5 +167,109 @@ def test_stream_merge(spark, tmp_path):
         if text:
             (src / "2.json").write_text(text)
         merge_stream(spark, str(src), schema, str(home), ["k"], "t", str(tmp_path / "cp")).awaitTermination(60)
-    rows = spark.read.parquet(str(home / f"v{latest_version(str(home))}")).collect()
+    rows = spark.read.parquet(str(home / f"v{latest_version(spark, str(home))}")).collect()
     assert sorted((r["k"], r["v"]) for r in rows) == [(1, "b"), (2, "c")]
+
+
+def test_two_ingests_and_the_built_tables(spark, tmp_path):
+    home = tmp_path / "home"
+    home.mkdir()
+    person = lambda i, name, title, **kw: json.dumps({"id": i, "name": name, "current_title": title, "current_company": "Hamzek Motors", "location": "Oakland, CA", "graduation_year": "2015", "skills": ["Welding", "Law"], "experience": [{"company": "Zospun Foods", "title": "Cook", "start_date": "2000-01-01", "end_date": "2003-01-01"}], **kw})
+    (tmp_path / "1.json").write_text(person("a", "Ann Lee", "Senior Engineer") + "\n" + person("b", "Bob Ray", "Cook"))
+    (tmp_path / "2.json").write_text(person("a", "Ann Lee", "Senior Engineer") + "\n" + person("c", "Cy Dee", "Poet"))
+    engine = ProfileEngine(spark, str(home))
+    assert engine.health()["status"] == "unhealthy" and set(engine.setup_database()) == {"alumni", "experience", "education", "skills"}
+    assert engine.setup_database() == []
+    for k, n in ((1, 2), (2, 3), (1, 3)):
+        assert engine.ingest([str(tmp_path / f"{k}.json")]).count() == n
+    out = str(home / "aside.parquet")
+    assert [engine.ingest([str(tmp_path / f"{k}.json")], out).count() for k in (1, 2)] == [3, 3] and engine.table("alumni").count() == 3
+    assert engine.table("skills").count() == 6 and engine.health()["status"] == "degraded"
+    assert engine.build_semantic_index().where("profile_text like '%Background: Cook at Zospun Foods'").count() == 3
+    assert engine.build_multi_aspect_index().count() == 3 and engine.build_multi_aspect_index().count() == 3
+    got = engine.multi_aspect_search({"current_role": "poet at hamzek motors in oakland ca"}, k=2).collect()
+    assert [r["person_id"] for r in got][0] == "c" and got[0]["summary"].startswith("Current: Poet at Hamzek Motors")
+    assert engine.build_enhanced_relationships(date(2004, 1, 1)).count() == 3 and engine.build_enhanced_relationships(date(2004, 1, 1)).count() == 3
+    assert {r["extraction_method"] for r in engine.run_ai_entity_extraction().collect()} <= {"rules", "ai_fallback"}
+    first = engine.ranked_search("senior engineer", 2, as_of_year=2020).collect()
+    assert first[0]["person_id"] == "a" and "Final Score" in first[0]["explanation"]
+    assert [r["person_id"] for r in engine.ranked_search("engineer cook", 2, 1, 2020).collect()] != [first[0]["person_id"]]
+    assert {r["person_id"] for r in engine.similar("a", 2).collect()} == {"b", "c"}
+    for bad in (lambda: ProfileEngine(spark, str(tmp_path)).similar("a"), lambda: ProfileEngine(spark, str(tmp_path)).multi_aspect_search({"skills": "x"})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_a_broken_swap_is_finished(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path + ".next")
+    session.settle(spark, path)
+    assert spark.read.parquet(path).count() == 3 and session.replace_table(spark.read.parquet(path).unionByName(spark.range(2)), path).count() == 5
+
+
+def test_aspects_as_json(spark):
+    long = spark.createDataFrame([("a", "skills", "t", [0.5, 1.0]), ("a", "education", None, [1.0, 0.0]), ("b", "skills", "u", None)], "person_id string, aspect string, text string, embedding array<double>")
+    stored = vectors.aspects_to_json(long).unionByName(spark.createDataFrame([("c", '{"aspects": {"sk'), ("d", ""), ("e", None), ("f", "{}")], "person_id string, embedding_data string"))
+    assert sorted(map(tuple, vectors.aspects_from_json(stored).collect()), key=repr) == sorted(map(tuple, long.collect()), key=repr)
+    assert vectors.aspects_from_json(stored, ids=["b"]).count() == 1 and vectors.aspects_from_json(stored.limit(0)).count() == 0
+
+
+def test_similar_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ASKED_AT_ONCE", 2)
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.6, 0.8]), (4, [0.0, 1.0]), (5, None)], "vec_id int, embedding array<float>")
+    got = vectors.similar_to_all(v, v, 2).collect()
+    assert sorted((r["item"], r["vec_id"]) for r in got) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 2), (3, 4), (4, 2), (4, 3)]
+    assert vectors.similar_to_all(v, v.limit(0)).count() == 0 == vectors.similar_to_all(v.limit(0), v.limit(0)).count()
+
+
+def test_overlaps_of_some(spark):
+    r = random.Random(4)
+    rows = [(p, r.choice("cd"), date(1990 + (a := r.randrange(12)), 1 + r.randrange(12), 1), date(1991 + a + r.randrange(5), 3, 1)) for p in range(1, 25) for _ in range(2)]
+    s = spark.createDataFrame(rows, "person_id int, company string, start_date date, end_date date")
+    every = relations.overlaps(s, date(2010, 1, 1))
+    want = sorted(tuple(x) for x in every.collect() if x["person1"] in (1, 2) or x["person2"] in (1, 2))
+    assert want and sorted(map(tuple, relations.overlaps(s, date(2010, 1, 1), of=[1, 2]).collect())) == want
+    plain = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (min(a[3], b[3]) - max(a[2], b[2])).days / 30.44 >= 1]
+    assert sorted((x["person1"], x["person2"]) for x in every.collect()) == sorted(plain)
+
+
+def test_back_end_is_merged(spark):
+    rows = spark.createDataFrame([("a", "Chief Poet", "x"), ("b", "", None)], "person_id string, current_title string, current_company string")
+    e = entities.rule_entities(rows, "current_title", "current_company").withColumn("seniority", F.lit("by rule"))
+    theirs = lambda df: df.withColumn("seniority", F.lit("")).withColumn("department", F.lit("verse")).withColumn("confidence", F.lit(0.9))
+    got = {r["person_id"]: r for r in entities.confidence_gate(e, backend=theirs).collect()}
+    assert got["a"]["seniority"] == "by rule" and got["a"]["department"] == "verse" and got["a"]["confidence"] == 0.9 and got["b"]["extraction_method"] == "hybrid"
+
+
+def test_graph_expansion_of_a_text(spark, tmp_path):
+    edges = [("title:analyst", "skill:excel", 0.8), ("skill:excel", "skill:risk", 0.9), ("title:analyst", "company:goldman", 0.7)]
+    both = [(a, b, w, -math.log(w)) for x, y, w in edges for a, b in ((x, y), (y, x))]
+    g = GraphExpansion(spark.createDataFrame(both, "src string, dst string, weight double, distance double"))
+    got = g.expand("the analyst, unheard")
+    assert got["terms"] == ["analyst", "unheard"] and list(got["expansions"]) == ["skill:excel", "company:goldman", "skill:risk"]
+    assert got["paths"]["skill:risk"] == "title:analyst → skill:excel → skill:risk" and got["condition"] == ["analyst", "unheard", "excel", "goldman"]
+    assert "using up to 2 hops" in got["explanation"] and GraphExpansion(graph_source(spark, str(tmp_path))).expand("analyst")["expansions"] == {}
+    docs = spark.createDataFrame([(i, t) for i in range(6) for t in ("a:x", "b:y")] + [(9, "c:z")], "d int, term string")
+    m = terms.with_metrics(terms.pair_counts(docs, "d"), 7)
+    sinks.export_terms(m, terms.frequencies(docs), terms.expansions(m, lift=1.0), str(tmp_path))
+    assert graph_source(spark, str(tmp_path)).count() == 2 and query.explain_expansion("x", {"skill:excel": 0.12345, "y": 1.0})["expansions"] == {"skill": [{"term": "excel", "score": 0.123}], "general": [{"term": "y", "score": 1.0}]}
+
+
+def test_request_flags():
+    assert query.request("current analysts hired recently")["filters"] == {"is_current_position": True, "recent_only": True} | {k: v for k, v in query.request("current analysts hired recently")["filters"].items() if k not in ("is_current_position", "recent_only")}
+
+
+def test_mappings_fall_back(tmp_path):
+    assert read_mappings(str(tmp_path / "none.json"), {"a": ["b"]}) == {"a": ["b"]}
+    (tmp_path / "m.json").write_text('{"x": ["y"], "z": 3}')
+    assert read_mappings(str(tmp_path / "m.json"), {}) == {"x": ["y"]}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    fake = type("Spark", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(fake)
