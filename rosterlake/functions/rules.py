@@ -147,15 +147,19 @@ RULES_INDUSTRY = {
 RULES_WEIGHTS = {"seniority": 0.2, "role_type": 0.3, "specialization": 0.2, "department": 0.2, "industry_focus": 0.1}
 RULES_ABBREVIATIONS = {"sr": "senior", "jr": "junior", "mgr": "manager", "dir": "director", "vp": "vice president", "swe": "software engineer", "pm": "product manager", "qa": "quality assurance"}
 # Terms of time and boilerplate.
-TEMPORAL_TERMS = (
-    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec "
-    "present current ongoing now today year years month months week weeks day days "
-    "responsibilities duties tasks role position responsible managed led oversaw coordinated worked experience background including such as "
-    "various multiple several different range wide broad diverse extensive comprehensive "
-    "the a an and or but in on at to for of with by from up about into through during before after above below "
-    "one two three four five six seven eight nine ten eleven twelve twenty thirty "
-    "summer fall spring winter semester quarter internship intern co-op temporary temp contract part-time full-time freelance volunteer"
-).split()
+TEMPORAL_TERMS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "present", "current",
+    "ongoing", "now", "today", "year", "years", "month", "months", "week", "weeks", "day", "days",
+    "responsibilities", "duties", "tasks", "role", "position", "responsible", "managed", "led", "oversaw",
+    "coordinated", "worked", "experience", "background", "including", "such", "as", "various", "multiple", "several",
+    "different", "range", "wide", "broad", "diverse", "extensive", "comprehensive", "the", "a", "an", "and", "or",
+    "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during",
+    "before", "after", "above", "below", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine",
+    "ten", "eleven", "twelve", "twenty", "thirty", "summer", "fall", "spring", "winter", "semester", "quarter",
+    "internship", "intern", "co-op", "temporary", "temp", "contract", "part-time", "full-time", "freelance",
+    "volunteer",
+]
 # Patterns of dates, blanked in order.
 DATE_PATTERNS = [r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\b\d{1,2}-\d{1,2}-\d{2,4}\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}\s+\d{4}\b", r"\b\d{4}\b"]
 # Weights of term types, and pairs that are passed over.
@@ -225,7 +229,7 @@ QUERY_PATTERNS = {
 }
 QUERY_CONSTRAINTS = {"current": r"\b(?:current|currently|now)\b", "former": r"\b(?:former|previously|ex-|past)\b", "recent": r"\b(?:recent|recently|last\s+\d+\s+years?)\b", "senior_only": r"\b(?:senior|experienced|seasoned)\s+(?:only|professionals?)\b"}
 QUERY_ABBREVIATIONS = {"swe": "software engineer", "pm": "product manager", "ib": "investment banking", "pe": "private equity", "vc": "venture capital", "hf": "hedge fund", "ml": "machine learning", "ai": "artificial intelligence"}
-QUERY_STOPWORDS = "the a an and or but in on at to for of with by from about as who what when where how which that find search looking need want show get".split()
+QUERY_STOPWORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "about", "as", "who", "what", "when", "where", "how", "which", "that", "find", "search", "looking", "need", "want", "show", "get"]
 # Words of a query that are not looked up in the term graph.
 GRAPH_STOPWORDS = ["and", "or", "the", "a", "an", "in", "at", "to", "for", "with"]
 # Weights of the additive score, and of the normalised one.

@@ -60,12 +60,16 @@ def without_dates(c: Column) -> Column:
 
 
 def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], (prev + 1 if x == y else max(row[j], row[j - 1]))
-    return row[-1]
+    """Letters of the longest common subsequence: one word of bits holds a row of the programme, a letter costs one step."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & whole
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str | None, b: str | None) -> int:
@@ -80,6 +84,12 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def find_all(c: Column, patterns: list[str]) -> Column:
+    """The distinct texts of the first group of each pattern, in order of the alphabet, without regard to case; null gives null."""
+    found = [F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(1)) for p in patterns]
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda x: F.lower(F.trim(x)))))
+
+
 def length_bound(a: Column, b: Column, percent: float) -> Column:
     """Lossless filter: only texts of near lengths can reach the similarity."""
     return 200 * F.least(F.length(a), F.length(b)) >= (percent - 0.5) * (F.length(a) + F.length(b))

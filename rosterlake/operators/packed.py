@@ -178,6 +178,20 @@ def _unescape(s: str) -> str:
         return s.replace('\\"', '"').replace("\\\\", "\\")
 
 
+#: Bytes of text that are scanned together; one text is never cut.
+AT_ONCE = 1 << 24
+
+
+def _pieces(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut between rows at about AT_ONCE bytes of its text column."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def explode_packed(df: DataFrame, keys: list[str], value: str, styles: dict[str, str] | None = None, field: str | None = None) -> DataFrame:
     """One row per value packed in column `value`: the keys, item_no (from 1, in the order written) and item.
 
@@ -200,11 +214,10 @@ def explode_packed(df: DataFrame, keys: list[str], value: str, styles: dict[str,
                 if field:
                     wanted = [k for k, v in (styles or {}).items() if v == style]
                     part = b.filter(pc.is_in(kinds, value_set=pa.array(wanted, kinds.type)))
-                if not part.num_rows:
-                    continue
-                parent, no, items = split_array(part.column(names.index("__packed")), style)
-                at = pa.array(parent)
-                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)).take(at) for c in cols), pa.array(no), items], names=[*cols, "item_no", "item"])
+                for piece in _pieces(part, names.index("__packed")):
+                    parent, no, items = split_array(piece.column(names.index("__packed")), style)
+                    at = pa.array(parent)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(names.index(c)).take(at) for c in cols), pa.array(no), items], names=[*cols, "item_no", "item"])
 
     return src.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions import entities, normalize, rules
-from rosterlake.functions.text import first_match, most_matches, without_dates
+from rosterlake.functions.text import find_all, first_match, most_matches, without_dates
 from rosterlake.operators import dedup, expand, packed, quality, relations, search, terms, texts, vectors
 from rosterlake.plans import query, sql
 from rosterlake.session import cut
@@ -107,7 +107,10 @@ def legacy_score(spark, d):
 
 def hybrid_merge(spark, d):
     kw = search.legacy_score(_scored(spark, d), WORDS, AS_OF_YEAR).where("score > 0").select("person_id", "score")
-    sem = view(spark, d, "skills").groupBy("person_id").agg((F.count_distinct("skill") / 20.0).alias("similarity"))
+    e = F.col("embedding")
+    rows = view(spark, d, "profile_embeddings").where((F.size(e) == 384) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    q = F.array(*(F.lit(x) for x in _query_vector(384)))
+    sem = rows.select("person_id", F.round(vectors.dot(e, q), 6).alias("s")).groupBy("person_id").agg(F.max("s").alias("similarity"))
     return search.hybrid(kw, sem, 50)
 
 
@@ -476,13 +479,18 @@ def widened_full_text(spark, d):
     return search.any_full_text(_people(spark, d), terms_, ["current_title", "normalized_title"]).select("person_id", "current_title")
 
 
+def title_patterns(spark, d):
+    t = F.col("current_title")
+    return _people(spark, d).where("current_title is not null").select("person_id", *(F.array_join(find_all(t, rules.QUERY_PATTERNS[k]), "|").alias(k) for k in ("titles", "seniority", "education")))
+
+
 def parse_queries(spark, d):
     asks = ["software engineers at Google in San Francisco", "senior analyst with 5 years of experience", "former consultants who studied economics at stanford", "product manager in new york", "recent phd data scientist"]
     rows = [(a, kind, str(v)) for a in asks for kind, vs in query.parse(a)["entities"].items() for v in vs]
     return spark.createDataFrame(rows, "query string, kind string, value string")
 
 
-_QUERIES = [p3_found, weighted_like_search, finance_search, domain_rescore_topk, profile_fanin_collect, skill_exists_semijoin, entity_filters, fulltext_all_terms, facets, suggestions, normalized_score, legacy_score, hybrid_merge, company_normalize_regex, company_normalize, location_normalize, record_hash_dedup, fuzzy_dedup, year_parse, upsert_touch, upsert_replace, seniority_extract, role_type_argmax, specialization_first_match, title_entities, location_components, rule_confidence_gate, extraction_stats, title_variations, quality_report, top_companies, year_distribution, token_frequency, temporal_term_filter, temporal_clean, term_documents_v1, term_documents_v2, doc_frequency, cooccurrence_pmi, cooccurrence_weighted, expansion_topk, term_associations, synonyms_cosine, tfidf_terms, multi_hop_expansion, graph_expansion, colleague_overlap, relationship_score, connections, mutual_connectors, career_lead, transition_matrix, transition_patterns, vector_topk, similar_items, multi_aspect_topk, profile_texts, aspect_texts, parse_queries, aspect_topk, stored_aspects, stored_aspects_by_id, profile_summaries, experience_fanin, experience_texts, career_texts, past_employers, experience_score, company_location_filter, ranked_filters_score, paged_search, score_explanations, widened_full_text, cooccurrence_significant, one_hop_expansion, engine_expansion, expansion_types, term_nodes, expansion_idf, place_display, record_fields]
+_QUERIES = [p3_found, weighted_like_search, finance_search, domain_rescore_topk, profile_fanin_collect, skill_exists_semijoin, entity_filters, fulltext_all_terms, facets, suggestions, normalized_score, legacy_score, hybrid_merge, company_normalize_regex, company_normalize, location_normalize, record_hash_dedup, fuzzy_dedup, year_parse, upsert_touch, upsert_replace, seniority_extract, role_type_argmax, specialization_first_match, title_entities, location_components, rule_confidence_gate, extraction_stats, title_variations, quality_report, top_companies, year_distribution, token_frequency, temporal_term_filter, temporal_clean, term_documents_v1, term_documents_v2, doc_frequency, cooccurrence_pmi, cooccurrence_weighted, expansion_topk, term_associations, synonyms_cosine, tfidf_terms, multi_hop_expansion, graph_expansion, colleague_overlap, relationship_score, connections, mutual_connectors, career_lead, transition_matrix, transition_patterns, vector_topk, similar_items, multi_aspect_topk, profile_texts, aspect_texts, parse_queries, aspect_topk, stored_aspects, stored_aspects_by_id, profile_summaries, experience_fanin, experience_texts, career_texts, past_employers, experience_score, company_location_filter, ranked_filters_score, paged_search, score_explanations, widened_full_text, cooccurrence_significant, one_hop_expansion, engine_expansion, expansion_types, term_nodes, expansion_idf, place_display, record_fields, title_patterns]
 
 
 def queries() -> dict[str, Query]:

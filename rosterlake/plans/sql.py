@@ -14,6 +14,9 @@ from rosterlake.plans.query import QueryPlan
 from rosterlake.sources.fixtures import with_views
 
 
+ANY_CASE = "(?i)"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -201,6 +204,7 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
         "location_normalize": f"SELECT person_id, low, CASE WHEN location IS NULL OR location = '' THEN '' ELSE coalesce({lookup_sql('low', rules.LOCATION_VARIANTS)}, CASE WHEN contains(low, ',') THEN {lookup_sql('trim(split_part(low, chr(44), 1))', rules.LOCATION_VARIANTS)} END, {title_case_sql('location')}) END AS normalized FROM (SELECT person_id, location, {bare_place} AS low FROM alumni) z",
         "temporal_clean": f"SELECT doc_id, md5({undated('text')}) AS digest FROM documents WHERE text IS NOT NULL",
         "title_variations": rf"SELECT person_id, array_to_string(list_sort(list_distinct(list_filter([t, regexp_replace(t, 'software engineer', 'swe', 'g'), regexp_replace(t, 'product manager', 'pm', 'g'), trim(regexp_replace(t, '\b(senior|junior|lead|principal|staff)\b\s*', '', 'g')), regexp_replace(t, 'developer', 'engineer', 'g'), regexp_replace(t, 'engineer', 'developer', 'g')], lambda x: x <> ''))), '|') AS variations FROM {titled} z",
+        "title_patterns": "SELECT person_id, " + ", ".join(f"array_to_string(list_sort(list_distinct(list_transform(flatten([{', '.join(f'regexp_extract_all(current_title, {q(ANY_CASE + p)}, 1)' for p in rules.QUERY_PATTERNS[k])}]), lambda x: lower(trim(x))))), '|') AS {k}" for k in ("titles", "seniority", "education")) + " FROM alumni WHERE current_title IS NOT NULL",
         "place_display": f"SELECT person_id, {display} AS display FROM alumni WHERE location IS NOT NULL",
         "record_fields": rf"SELECT person_id, coalesce(trim(regexp_replace(regexp_replace(current_title, '\s*[-–—]\s*', ' - ', 'g'), '\s+', ' ', 'g')), '') AS spaced, {short_title} AS short, CASE WHEN current_company IS NULL OR current_company = '' THEN '' ELSE coalesce({lookup_sql(cleaned, rules.COMPANY_VARIANTS)}, {title_case_sql(cleaned)}) END AS company FROM alumni",
         "term_documents_v1": f"""WITH p AS (SELECT *, {nt} AS t FROM alumni), r AS (SELECT person_id, 'company' AS k, normalized_company AS v FROM p UNION ALL SELECT person_id, 'title', t FROM p UNION ALL SELECT person_id, 'seniority', {rank_case('t', False)} FROM p UNION ALL SELECT person_id, 'role', {most_class('t', rules.ROLE_TYPES)} FROM p UNION ALL SELECT person_id, 'spec', {first_class('t', rules.SPECIALIZATIONS)} FROM p
@@ -244,7 +248,7 @@ def statements(ask: QueryPlan, finance: QueryPlan, words: list[str], related: di
         "normalized_score": f"""WITH {_SKILLS}, g AS (SELECT *, array_to_string(skill_list, ' ') AS skills FROM f), s AS (SELECT person_id, {exact} AS e, {cooc} AS c, CASE WHEN {year} - graduation_year <= 10 THEN 0.2::DOUBLE * (10 - ({year} - graduation_year)) / 10 ELSE 0.0 END AS m FROM g)
           SELECT person_id, round(e, 6) AS exact, round(c, 6) AS cooccurrence, round(round_even(greatest(0.0, least(1.0, e * 0.4 + c * 0.3 + (1 - (e * 0.4 + c * 0.3)) * m * 0.5)), 4), 3) AS final_score FROM s""",
         "legacy_score": f"WITH {_SKILLS} SELECT person_id, round({legacy(1.5)}, 6) AS score FROM f",
-        "hybrid_merge": f"WITH {_SKILLS}, k AS (SELECT person_id, {legacy(1.0)} AS score FROM f), m AS (SELECT person_id, count(DISTINCT skill) / 20.0::DOUBLE AS sim FROM skills GROUP BY 1) SELECT person_id, round(score + coalesce(sim, 0) * 0.3, 6) AS score FROM k LEFT JOIN m USING (person_id) WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 50",
+        "hybrid_merge": f"WITH {_SKILLS}, k AS (SELECT person_id, {legacy(1.0)} AS score FROM f), m AS (SELECT person_id, max(round(list_dot_product(embedding::DOUBLE[], {vec(384)}), 6)) AS sim FROM profile_embeddings WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY 1) SELECT person_id, round(score + coalesce(sim, 0) * 0.3, 6) AS score FROM k LEFT JOIN m USING (person_id) WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 50",
         "company_normalize_regex": f"SELECT person_id, {cleaned} AS cleaned FROM alumni",
         "record_hash_dedup": "SELECT person_id, h FROM (SELECT person_id, created_at, md5(lower(coalesce(name, '')) || '_' || coalesce(current_company, '') || '_' || coalesce(graduation_year::VARCHAR, '')) AS h FROM alumni) z QUALIFY row_number() OVER (PARTITION BY h ORDER BY created_at NULLS FIRST, person_id) = 1",
         "year_parse": r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(regexp_replace(text, '\s+', ' ', 'g'), '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year FROM documents",
