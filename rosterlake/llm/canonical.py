@@ -108,12 +108,13 @@ class TitleMatcher:
     def __init__(self, rows: list[tuple], tree_rows: int = SHARD_ROWS):
         words = [names.title_words(names.fold(r[1])) for r in rows]
         self.vocabulary = frozenset(w for ws in words for w in ws)
+        self.paths = names.title_paths(words)
         self.index = KeyIndex([(names.title_key(ws), r[0]) for ws, r in zip(words, rows)], tree_rows)
 
     def match(self, values: list[str]) -> list[tuple[int, float]]:
         at, rank, keys = [], [], []
         for k, v in enumerate(values):
-            for r, key in names.title_readings(v, self.vocabulary):
+            for r, key in names.title_readings(v, self.vocabulary, self.paths):
                 at.append(k)
                 rank.append(r)
                 keys.append(key)

@@ -161,8 +161,37 @@ def _one_edit(a: str, b: str) -> bool:
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def title_readings(s: str, vocabulary: frozenset[str]) -> list[tuple[int, str]]:
-    """(rank, key) of the ways to read a typed title: all words in order or turned round first, then without remarks."""
+def title_paths(titles: Iterable[list[str]]) -> dict:
+    """The words of listed titles as a tree: each word leads to those that may follow, and None marks an end."""
+    top: dict = {}
+    for words in titles:
+        at = top
+        for w in words:
+            if w not in ("of", "for"):
+                at = at.setdefault(w, {})
+        at[None] = {}
+    return top
+
+
+def _walk(choices: list[list[str]], at: dict, k: int = 0, said: str = "") -> Iterable[str]:
+    """Keys of all listed titles that take one choice for each word: as many steps as the list has such beginnings."""
+    if k == len(choices):
+        if None in at and said:
+            yield said
+        return
+    for choice in choices[k]:
+        node: dict | None = at
+        for w in choice.split():
+            node = node.get(w) if node is not None and w not in ("of", "for") else node
+        if node is not None:
+            yield from _walk(choices, node, k + 1, said + title_key(choice.split()))
+
+
+def title_readings(s: str, vocabulary: frozenset[str], paths: dict | None = None) -> list[tuple[int, str]]:
+    """(rank, key) of the ways to read a typed title: all words in order or turned round first, then without remarks.
+
+    Every listed title (`paths`) that takes one choice for each word is among them; of combinations that are listed
+    nowhere and might be one with a typing error, the first 32."""
     t = fold(s)
     parts: list[tuple[int, str]] = [(0, t)]
     m = re.fullmatch(r"(.*?)\s*\(([^)]*)\)\s*", t)
@@ -192,6 +221,8 @@ def title_readings(s: str, vocabulary: frozenset[str]) -> list[tuple[int, str]]:
             key = title_key(x for w in combo for x in w.split())
             if key:
                 out[key] = min(rank, out.get(key, 9))
+        for key in _walk(choices, paths or {}):
+            out[key] = min(rank, out.get(key, 9))
     return [(r, k) for k, r in out.items()]
 
 

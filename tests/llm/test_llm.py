@@ -153,6 +153,15 @@ def test_titles_and_places():
     assert [m[0] for m in p.match(["Mt. Fak", "ZG / Mount Fak", "Greater Mount Fak Area", "MountFak, Ostr", "Mount Fak, Elsewhere"])] == [1, 2, 1, 2, 0]
 
 
+def test_titles_of_many_short_words():
+    words = [("Principal", "Prin"), ("Marketing", "Mark"), ("Analytics", "Anal"), ("Development", "Devel"), ("Product", "Produ"), ("Strategy", "Strat")]
+    near = [(i + 2, " ".join(a[: len(b)] + e for a, b in words)) for i, e in enumerate(("ova", "ice"))]
+    t = canonical.TitleMatcher([(1, " ".join(a for a, _ in words)), *near])
+    assert t.match([" ".join(f"{b}." for _, b in words)])[0][0] in range(1, 4)
+    assert len(names.title_readings(" ".join(f"{b}." for _, b in words), t.vocabulary)) <= 32
+    assert names.title_key(w.lower() for w, _ in words) in {k for _, k in names.title_readings(" ".join(f"{b}." for _, b in words), t.vocabulary, t.paths)}
+
+
 def test_fusion(spark):
     t = lambda d: datetime(2020, 1, d)
     rows = [person("a", "n", record_hash="h", current_title="Poet", updated_at=t(2), created_at=t(1)), person("b", "n", record_hash="h", current_title="Sen...", updated_at=t(9), created_at=t(1)), person("c", "n", record_hash="h", current_title="Cook", updated_at=t(5), created_at=t(2)), person("d", "n", record_hash="h", current_title="Baker", updated_at=t(5), created_at=t(2)), person("e", "n", record_hash="k", current_title="Poet"), person("f", "n", record_hash=None, current_title="Poet")]
