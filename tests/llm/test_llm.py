@@ -355,6 +355,23 @@ def test_neighbours_in_more_lists_than_probes(spark):
     assert len(books.coarse) == 64 and len(books.fine) * 64 > 8 * knn.PROBES and books.lists(u[:9], 8)[0].shape == (9, 8)
 
 
+def test_vectors_are_sent_once_to_a_bucket_whatever_the_lists(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(30, 16)), 20, 0) + 0.3 * rng.normal(size=(600, 16))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([("a", f"{i:03d}", row.tolist()) for i, row in enumerate(u)], "aspect string, id string, vec array<float>")
+    book = knn.fit(u, 80_000, flat=8)
+    assert len(book.fine) > 1
+    near = book.lists(u, book.reach[1])[1]
+    asked = (near >= near[:, :1] - book.reach[0]).sum()
+    sent = [tuple(r) for r in knn._place(df, {"a": book}, 5).where("vec is not null").select("bucket", "id").collect()]
+    assert len(set(sent)) == len(sent) and {i for _, i in sent} == {f"{i:03d}" for i in range(600)}
+    assert asked > 1.5 * len(sent)
+    book.parts = np.full(8, 3)
+    ends = [book.bucket(np.arange(e * len(book.fine), (e + 1) * len(book.fine)), np.zeros(len(book.fine), np.int64)) for e in range(8)]
+    assert all(len(set(b.tolist())) == 3 and (np.diff(b) >= 0).all() and b[-1] >> 20 < (e + 1) * len(book.fine) for e, b in enumerate(ends))
+
+
 def test_neighbours_of_an_aspect_that_was_not_drawn(spark):
     rng = np.random.default_rng(4)
     rows = [(a, f"{i:03d}", [float(v) for v in rng.normal(size=8)]) for a, n in (("common", 300), ("rare", 12)) for i in range(n)]
