@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rosterlake.llm import canonical, fusion, knn, leaks, level, names, packing, radius, together, variants
+from rosterlake.llm import canonical, fusion, knn, leaks, level, names, packing, queries, radius, together, variants
 from rosterlake.llm.graph import components
 from rosterlake.llm.metric import BKTree, Strings, _plain, damerau, distances
 from rosterlake.llm.scan import scan
@@ -395,3 +395,11 @@ def test_usable_vectors(spark):
 def test_recency_ties(spark, k):
     df = spark.createDataFrame([("h", "f", "v", "s", True, (k, "b"), 1), ("h", "f", "w", "s", True, (k, "a"), 1)], "entity string, field string, value string, source string, usable boolean, newest struct<age:long,record:string>, n long")
     assert fusion.fuse(df).select(F.col("record")).first()[0] == "a"
+
+
+def test_survivors_by_recency_need_no_estimate(spark, tmp_path, monkeypatch):
+    rows = [("h", f"p{i:03d}", "Baker" if i % 2 else "Teacher", None if i else "Law", datetime(1901 + i, 5, 1), datetime(2020, 1, 1) if i < 7 else None) for i in range(300)]
+    spark.createDataFrame(rows, "record_hash string, person_id string, current_title string, major string, created_at timestamp, updated_at timestamp").write.parquet(str(tmp_path / "alumni.parquet"))
+    monkeypatch.setattr(fusion, "estimate", lambda *_: pytest.fail("estimated"))
+    got = queries.p2_found(spark, str(tmp_path)).collect()  # 300 sources are more than can be told apart
+    assert sorted((r["field"], r["person_id"]) for r in got) == [("current_title", "p000"), ("major", "p000")]
